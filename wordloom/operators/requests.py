@@ -46,16 +46,3 @@ def request_words(sequences: DataFrame) -> DataFrame:
             F.size("_distinct").alias("k"),
         )
     )
-
-
-def distinct_sequences(sequences: DataFrame) -> DataFrame:
-    """(seq_id, hashes): equal requests once, so that copies of a request cost nothing.
-
-    Requests without words are dropped here; they match nothing.
-    """
-    return (
-        sequences.groupBy("hashes")
-        .agg(F.min("query_id").alias("seq_id"))
-        .where(F.size("hashes") > 0)
-        .select("seq_id", "hashes")
-    )

@@ -6,19 +6,21 @@ tested only in texts that hold its rarest word. Equal requests are answered once
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import bin_of
 from wordloom.functions.matching import aliases, exact_hits, frequency, places, run_hits, settle
 from wordloom.operators.postings import Stopwords
-from wordloom.operators.requests import distinct_sequences, request_sequences, request_words
+from wordloom.operators.requests import request_sequences
 
 MODES = ("run", "exact")
 
 # Up to this many hashes are placed into the scan as values; beyond, they are joined.
 MAX_LITERALS = 500
-# Rows of a side that may be broadcast. The rows are short: a hash, or the hashes of a request.
+# Rows of the request side that are computed once and kept as a local table.
+MAX_PINNED = 10_000
+# Rows of a side that may be broadcast. The rows are short: a hash, the hashes of a request, scores.
 MAX_BROADCAST_ROWS = 200_000
 # Text ids that may be broadcast to thin out the postings before they are shuffled.
 MAX_CANDIDATES = 2_000_000
@@ -36,30 +38,40 @@ def _small(frame: DataFrame, is_small: bool) -> DataFrame:
     return F.broadcast(frame) if is_small else frame
 
 
-def _wanted(sequences: DataFrame, bins: int) -> DataFrame:
-    """(bin, hash): the distinct words of all requests."""
-    hashes = (
-        sequences.select(F.explode_outer(F.array_distinct("hashes")).alias("hash"))
-        .where(F.col("hash").isNotNull())
-        .distinct()
-    )
-    return hashes.select(bin_of(F.col("hash"), bins).alias("bin"), "hash")
+def _pin(frame: DataFrame, most: int) -> tuple[DataFrame, list[dict] | None]:
+    """A frame of at most ``most`` rows as a local table, with its rows; a larger one as it is."""
+    table = frame.limit(most + 1).toArrow()
+    if table.num_rows > most:
+        return frame, None
+    return frame.sparkSession.createDataFrame(table, frame.schema), table.to_pylist()
 
 
-class WordFilter:
-    """The words of all requests, as a filter for any table keyed by (bin, hash).
+class RequestSet:
+    """The requests to answer: ``members`` (query_id, seq_id, hashes) and ``distinct`` (seq_id, hashes).
 
-    Few words become values in the scan (partition and row-group pruning); more are joined, with the
-    list of bins still pruning partitions.
+    Equal requests share the seq_id of the first of them. Requests without words match nothing and
+    are left out. Calling it filters a table keyed by (bin, hash) to the requested words: few words
+    become values in the scan (partition and row-group pruning); more are joined, with the list of
+    bins still pruning partitions.
     """
 
     def __init__(self, sequences: DataFrame, bins: int):
-        self.wanted = _wanted(sequences, bins)
-        found = self.wanted.limit(MAX_LITERALS + 1).collect()
-        self.literal = len(found) <= MAX_LITERALS
+        some = sequences.where(F.size("hashes") > 0)
+        first = some.groupBy("hashes").agg(F.min("query_id").alias("seq_id"))
+        members = some.join(first, "hashes").select("query_id", "seq_id", "hashes")
+        self.members, rows = _pin(members, MAX_PINNED)
+        self.pinned = rows is not None
+        self.few = self.pinned or _at_most(some, MAX_BROADCAST_ROWS)
+        self.distinct = self.members.where("query_id = seq_id").select("seq_id", "hashes")
+
+        hashes = self.distinct.select(F.explode_outer(F.array_distinct("hashes")).alias("hash")).distinct()
+        self.wanted = hashes.select(bin_of(F.col("hash"), bins).alias("bin"), "hash")
+        self.hashes = sorted({value for row in rows for value in row["hashes"]}) if self.pinned else None
+        if self.hashes is not None and len(self.hashes) > MAX_LITERALS:
+            self.hashes = None
+        self.literal = self.hashes is not None
         if self.literal:
-            self.bins = sorted({row.bin for row in found})
-            self.hashes = sorted({row.hash for row in found})
+            self.bins = sorted({int(value, 16) % bins + 1 for value in self.hashes})
             self.small = True
         else:
             # One number per bin at most.
@@ -72,58 +84,65 @@ class WordFilter:
             return pruned.where(F.col("hash").isin(self.hashes))
         return pruned.join(_small(self.wanted, self.small), ["bin", "hash"], "left_semi")
 
-
-def _word_counts(found: DataFrame, chosen: WordFilter, vocabulary: DataFrame | None) -> DataFrame:
-    """(hash, texts) of the requested words that the index has."""
-    if vocabulary is not None:
-        return chosen(vocabulary).select("hash", "texts")
-    return found.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"))
-
-
-def _drivers(sequences: DataFrame, counts: DataFrame, small: bool) -> DataFrame:
-    """(driver, driver_texts, seq_id, hashes): each request under its rarest word.
-
-    A request with a word that the index lacks has no row: it matches nothing.
-    """
-    exploded = sequences.select("seq_id", "hashes", F.explode(F.array_distinct("hashes")).alias("hash"))
-    counted = exploded.join(_small(counts, small), "hash")
-    rarest = counted.groupBy("seq_id").agg(
-        F.min(F.struct("texts", "hash")).alias("_rarest"),
-        F.count(F.lit(1)).alias("_known"),
-        F.first("hashes").alias("hashes"),
-    )
-    return rarest.where(F.col("_known") == F.size(F.array_distinct("hashes"))).select(
-        F.col("_rarest.hash").alias("driver"), F.col("_rarest.texts").alias("driver_texts"), "seq_id", "hashes"
-    )
-
-
-def _thinned(found: DataFrame, drivers: DataFrame, counts: DataFrame) -> DataFrame:
+    def counts(self, index: DataFrame, vocabulary: DataFrame | None) -> tuple[DataFrame, list[dict] | None]:
+        """(hash, texts) of the requested words that the index has; the rows too if they are few."""
+        if vocabulary is None:
+            counted = self(index).groupBy("hash").agg(F.count(F.lit(1)).alias("texts"))
+        else:
+            counted = self(vocabulary).select("hash", "texts")
+        return _pin(counted, MAX_LITERALS) if self.literal else (counted, None)
+
+    def drivers(self, counts: DataFrame) -> tuple[DataFrame, list[dict] | None]:
+        """(driver, driver_texts, seq_id, hashes): each distinct request under its rarest word.
+
+        A request with a word that the index lacks has no row: it matches nothing.
+        """
+        words = self.distinct.select("seq_id", F.explode(F.array_distinct("hashes")).alias("hash"))
+        rarest = (
+            words.join(_small(counts, self.small), "hash")
+            .groupBy("seq_id")
+            .agg(F.min(F.struct("texts", "hash")).alias("_rarest"), F.count(F.lit(1)).alias("_known"))
+        )
+        drivers = (
+            self.distinct.join(_small(rarest, self.few), "seq_id")
+            .where(F.col("_known") == F.size(F.array_distinct("hashes")))
+            .select(
+                F.col("_rarest.hash").alias("driver"), F.col("_rarest.texts").alias("driver_texts"), "seq_id", "hashes"
+            )
+        )
+        return _pin(drivers, MAX_PINNED) if self.pinned else (drivers, None)
+
+    def fan_out(self, matched: DataFrame) -> DataFrame:
+        """From distinct requests back to all requests: seq_id becomes query_id."""
+        members = self.members.select("query_id", "seq_id")
+        return matched.join(_small(members, self.few), "seq_id").drop("seq_id")
+
+    def few_results(self, n: int) -> bool:
+        """Whether the top n of all requests are few enough to broadcast."""
+        return self.few and _at_most(self.members, MAX_BROADCAST_ROWS // max(n, 1))
+
+
+def _thinned(found: DataFrame, drivers: list[dict], counts: list[dict]) -> DataFrame:
     """Keep the postings of texts that hold a driver word, if that is a small and much smaller set."""
-    rare = drivers.select(F.col("driver").alias("hash")).distinct()
-    sizes = counts.join(rare.withColumn("_rare", F.lit(True)), "hash", "left").agg(
-        F.sum("texts").alias("everything"),
-        F.sum(F.when(F.col("_rare"), F.col("texts")).otherwise(0)).alias("candidates"),
-    )
-    row = sizes.first()
-    everything, candidates = row.everything or 0, row.candidates or 0
+    rare = {row["driver"]: row["driver_texts"] for row in drivers}
+    candidates, everything = sum(rare.values()), sum(row["texts"] for row in counts)
     if candidates > MAX_CANDIDATES or candidates * 4 > everything:
         return found
-    ids = found.join(F.broadcast(rare), "hash", "left_semi").select("text_id")
+    ids = found.where(F.col("hash").isin(sorted(rare))).select("text_id")
     return found.join(F.broadcast(ids), "text_id", "left_semi")
 
 
-def match_texts(index: DataFrame, sequences: DataFrame, bins: int, vocabulary: DataFrame | None = None) -> DataFrame:
+def match_texts(index: DataFrame, chosen: RequestSet, vocabulary: DataFrame | None = None) -> DataFrame:
     """(seq_id, hashes, text_id, total_words, places): texts that hold all words of a request.
 
-    ``sequences`` has distinct requests. One shuffle of the requested postings, by text. With
-    ``vocabulary`` the counts come from it, and rare words thin out the others before the shuffle.
+    One shuffle of the requested postings, by text. With ``vocabulary`` the counts come from it, and
+    rare words thin out the others before the shuffle.
     """
-    chosen = WordFilter(sequences, bins)
     found = chosen(index).select("hash", "text_id", "positions", "total_words")
-    counts = _word_counts(found, chosen, vocabulary)
-    drivers = _drivers(sequences, counts, chosen.small)
-    if vocabulary is not None and chosen.small:
-        found = _thinned(found, drivers, counts)
+    counts, count_rows = chosen.counts(index, vocabulary)
+    drivers, driver_rows = chosen.drivers(counts)
+    if count_rows is not None and driver_rows is not None:
+        found = _thinned(found, driver_rows, count_rows)
     by_text = found.groupBy("text_id").agg(
         F.max("total_words").alias("total_words"),
         F.collect_list(F.struct("hash", "positions")).alias("held"),
@@ -131,12 +150,12 @@ def match_texts(index: DataFrame, sequences: DataFrame, bins: int, vocabulary: D
     held = by_text.select(
         "text_id", "total_words", "held", F.explode(F.array_distinct(F.col("held.hash"))).alias("driver")
     )
-    few = chosen.small and _at_most(sequences, MAX_BROADCAST_ROWS)
-    if few:
-        pairs = held.join(F.broadcast(drivers), "driver")
+    requests = drivers.drop("driver_texts")
+    if chosen.few:
+        pairs = held.join(F.broadcast(requests), "driver")
     else:
         # Only ids travel to the requests and back; the positions stay where they are.
-        pairs = held.select("text_id", "driver").join(drivers, "driver").drop("driver").join(by_text, "text_id")
+        pairs = held.select("text_id", "driver").join(requests, "driver").drop("driver").join(by_text, "text_id")
     has_all = F.forall(
         F.array_distinct("hashes"),
         lambda wanted: F.exists("held", lambda entry: entry["hash"] == wanted),
@@ -146,38 +165,27 @@ def match_texts(index: DataFrame, sequences: DataFrame, bins: int, vocabulary: D
     )
 
 
-def _fan_out(matched: DataFrame, sequences: DataFrame, distinct: DataFrame) -> DataFrame:
-    """From distinct requests back to all requests: seq_id becomes query_id."""
-    members = sequences.join(distinct, "hashes").select("query_id", "seq_id")
-    few = _at_most(sequences, MAX_BROADCAST_ROWS)
-    return matched.join(_small(members, few), "seq_id").drop("seq_id")
-
-
 def posting_lookup(index: DataFrame, sequences: DataFrame, bins: int, vocabulary: DataFrame | None = None) -> DataFrame:
     """(query_id, alias, text_id, positions, total_words): the postings of each request.
 
     A request with a word that the index lacks has none.
     """
-    chosen = WordFilter(sequences, bins)
-    found = chosen(index)
-    counts = _word_counts(found, chosen, vocabulary).select("hash")
-    words = request_words(sequences).select("query_id", "hash", "alias", "k").distinct()
-    known = words.join(_small(counts, chosen.small), "hash", "left_semi")
-    complete = known.groupBy("query_id", "k").agg(F.count(F.lit(1)).alias("_known")).where("_known = k")
-    few = _at_most(words, MAX_BROADCAST_ROWS)
-    gated = words.join(_small(complete.select("query_id"), few), "query_id", "left_semi")
-    return found.join(_small(gated.select("query_id", "hash", "alias"), few), "hash").select(
-        "query_id", "alias", "text_id", "positions", "total_words"
+    chosen = RequestSet(sequences, bins)
+    counts, _ = chosen.counts(index, vocabulary)
+    known = chosen.drivers(counts)[0].select("seq_id", "hashes")
+    words = chosen.fan_out(known).select("query_id", F.posexplode(F.array_distinct("hashes")).alias("alias", "hash"))
+    return (
+        chosen(index)
+        .join(_small(words, chosen.pinned), "hash")
+        .select("query_id", "alias", "text_id", "positions", "total_words")
     )
 
 
 def all_words_filter(index: DataFrame, sequences: DataFrame, bins: int, vocabulary: DataFrame | None = None) -> DataFrame:
     """(query_id, text_id, total_words): texts that hold every distinct word of a request."""
-    distinct = distinct_sequences(sequences)
-    matched = match_texts(index, distinct, bins, vocabulary)
-    return _fan_out(matched.select("seq_id", "text_id", "total_words"), sequences, distinct).select(
-        "query_id", "text_id", "total_words"
-    )
+    chosen = RequestSet(sequences, bins)
+    matched = match_texts(index, chosen, vocabulary).select("seq_id", "text_id", "total_words")
+    return chosen.fan_out(matched).select("query_id", "text_id", "total_words")
 
 
 def rank_top(hits: DataFrame, n: int, key: str = "query_id") -> DataFrame:
@@ -214,38 +222,37 @@ def _hits(matched: DataFrame, mode: str) -> DataFrame:
     )
 
 
-def search_hits(
-    index: DataFrame,
-    sequences: DataFrame,
-    bins: int,
-    n: int = 10,
-    mode: str = "run",
-    vocabulary: DataFrame | None = None,
-    lengths: Column | None = None,
-) -> DataFrame:
-    """(query_id, rank, text_id, hits, ...): ranked texts of each request.
-
-    ``lengths`` is a condition on ``hashes`` that chooses the requests to answer.
-    """
-    chosen = sequences if lengths is None else sequences.where(lengths)
-    distinct = distinct_sequences(chosen)
-    top = rank_top(_hits(match_texts(index, distinct, bins, vocabulary), mode), n, "seq_id")
-    return _fan_out(top, chosen, distinct).select("query_id", "rank", "text_id", *HIT_COLUMNS)
+def _ranked(index: DataFrame, chosen: RequestSet, n: int, mode: str, vocabulary: DataFrame | None) -> DataFrame:
+    """(query_id, rank, text_id, hits, ...): ranked texts of each request."""
+    top = rank_top(_hits(match_texts(index, chosen, vocabulary), mode), n, "seq_id")
+    return chosen.fan_out(top).select("query_id", "rank", "text_id", *HIT_COLUMNS)
 
 
 def single_word_search(index: DataFrame, sequences: DataFrame, bins: int, n: int = 10, vocabulary: DataFrame | None = None) -> DataFrame:
     """Requests of one word: every position is a hit."""
-    return search_hits(index, sequences, bins, n, "run", vocabulary, F.size("hashes") == 1)
+    return _ranked(index, RequestSet(sequences.where(F.size("hashes") == 1), bins), n, "run", vocabulary)
 
 
 def multi_word_search(index: DataFrame, sequences: DataFrame, bins: int, n: int = 10, vocabulary: DataFrame | None = None) -> DataFrame:
     """Requests of several words: runs of adjacent request words that begin or end with the sequence."""
-    return search_hits(index, sequences, bins, n, "run", vocabulary, F.size("hashes") > 1)
+    return _ranked(index, RequestSet(sequences.where(F.size("hashes") > 1), bins), n, "run", vocabulary)
 
 
 def phrase_search(index: DataFrame, sequences: DataFrame, bins: int, n: int = 10, vocabulary: DataFrame | None = None) -> DataFrame:
     """Requests of any length: every occurrence of the exact sequence is a hit."""
-    return search_hits(index, sequences, bins, n, "exact", vocabulary)
+    return _ranked(index, RequestSet(sequences, bins), n, "exact", vocabulary)
+
+
+def search_hits(
+    index: DataFrame,
+    sequences: DataFrame,
+    bins: int,
+    n: int = 10,
+    mode: str = "run",
+    vocabulary: DataFrame | None = None,
+) -> DataFrame:
+    """Requests of any length, in either mode, without the texts."""
+    return _ranked(index, RequestSet(sequences, bins), n, mode, vocabulary)
 
 
 def _keyed(hits: DataFrame, text_buckets: int | None) -> tuple[DataFrame, list[str]]:
@@ -304,9 +311,9 @@ def search(
 ) -> DataFrame:
     """Answer a table of requests: ranked texts with scores, metadata and text."""
     sequences = request_sequences(requests, stopwords, normalize_stopwords, digest)
-    hits = search_hits(index, sequences, bins, n, mode, vocabulary)
-    few = _at_most(requests, max(MAX_BROADCAST_ROWS // n, 1))
-    return read_texts(hits, texts, text_buckets, require_all, few)
+    chosen = RequestSet(sequences, bins)
+    hits = _ranked(index, chosen, n, mode, vocabulary)
+    return read_texts(hits, texts, text_buckets, require_all, chosen.few_results(n))
 
 
 def search_summary(requests: DataFrame, results: DataFrame) -> DataFrame:
