@@ -1,0 +1,155 @@
+import pytest
+from pyspark.sql import functions as F
+
+from wordloom import Layout, append_batch, format_index, index_corpus, open_index, open_texts, open_vocabulary, search
+from wordloom.operators.postings import postings, vocabulary
+from wordloom.plans.indexing import append_postings, open_staging, open_touched, stored_texts, touched_since
+from wordloom.sources.corpus import number_rows
+from wordloom.sources.state import BEGINNING, read_state
+from wordloom.streaming.indexer import index_stream, read_text_stream
+
+STOPWORDS = ["the", "of", "and"]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return (
+        spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+        .select(F.col("doc_id").alias("text_id"), "lang", "text")
+        .persist()
+    )
+
+
+def rows(frame):
+    columns = ["bin", "hash", "text_id", "positions", "total_words"]
+    return sorted((r.bin, r.hash, r.text_id, tuple(r.positions), r.total_words) for r in frame.select(columns).collect())
+
+
+def test_postings_equal_brute_force(spark):
+    table = spark.createDataFrame([(1, "b a b"), (2, ""), (3, "the a")], "text_id long, text string")
+    found = postings(table, 7, ["the"])
+    key = {row.word: row.hash for row in spark.sql("SELECT w word, sha2(w, 256) hash FROM VALUES ('a'), ('b') AS t(w)").collect()}
+    got = sorted((r.hash, r.text_id, tuple(r.positions), r.total_words) for r in found.collect())
+    assert got == sorted([(key["a"], 1, (1,), 3), (key["b"], 1, (0, 2), 3), (key["a"], 3, (0,), 1)])
+    counts = {(r.hash, r.texts, r.occurrences) for r in vocabulary(found).collect()}
+    assert counts == {(key["a"], 2, 2), (key["b"], 1, 2)}
+
+
+def test_postings_need_no_shuffle(texts):
+    plan = postings(texts, 7, STOPWORDS)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_batches_and_increments_equal_one_build(spark, texts, tmp_path):
+    want = rows(postings(texts, 7, STOPWORDS))
+    once = Layout(str(tmp_path / "once"), 7, 3)
+    assert index_corpus(spark, once, {"all": texts}, STOPWORDS)[0] == 200
+    assert rows(open_index(spark, once)) == want
+
+    parts = Layout(str(tmp_path / "parts"), 7, 3)
+    index_corpus(spark, parts, {"a": texts.where("text_id < 50"), "b": texts.where("text_id between 50 and 99")}, STOPWORDS)
+    total, stamp = index_corpus(spark, parts, {"c": texts.where("text_id >= 100")}, STOPWORDS)
+    assert total == 200 and read_state(spark, parts.state) == (total, stamp)
+    assert rows(open_index(spark, parts)) == want
+    assert open_texts(spark, parts).count() == 200
+    counted = sorted(tuple(row) for row in open_vocabulary(spark, parts).select("bin", "hash", "texts", "occurrences").collect())
+    assert counted == sorted(tuple(row) for row in vocabulary(postings(texts, 7, STOPWORDS)).collect())
+
+
+def test_repeated_batch_replaces_itself(spark, texts, layout):
+    some = texts.where("text_id < 30")
+    for _ in range(2):
+        append_batch(layout, some, "a", STOPWORDS)
+    assert rows(open_staging(spark, layout)) == rows(postings(some, 7, STOPWORDS))
+    assert open_texts(spark, layout).count() == 30
+    append_batch(layout, texts.where("text_id = 30"), "b", STOPWORDS)
+    assert stored_texts(spark, layout) == 30 and stored_texts(spark, layout, "b") == 29
+
+
+def test_only_touched_bins_are_rebuilt(spark, layout):
+    first = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p")], "text_id long, text string")
+    append_postings(layout, postings(first, 7), "1")
+    stamp = open_touched(spark, layout).agg(F.max("generation_timestamp")).first()[0]
+    assert sorted(format_index(spark, layout, BEGINNING)) == list(range(1, 8))
+    append_postings(layout, postings(spark.createDataFrame([(2, "a a")], first.schema), 7), "2")
+    since = open_touched(spark, layout).where("batch_id = 1").agg(
+        F.max(F.unix_micros("generation_timestamp")).alias("t")
+    ).first().t
+    assert stamp is not None
+    newer = touched_since(
+        open_touched(spark, layout).withColumn("generation_timestamp", F.expr(f"generation_timestamp - make_interval(0,0,0,0,0,0,{since}/1000000D)")),
+        BEGINNING,
+    )
+    assert newer.count() == 1
+    from datetime import timedelta
+
+    bins = format_index(spark, layout, BEGINNING + timedelta(microseconds=since))
+    assert len(bins) == 1
+    assert rows(open_index(spark, layout)) == rows(open_staging(spark, layout))
+    assert format_index(spark, layout, BEGINNING + timedelta(days=365 * 300)) == []
+
+
+def test_frequent_word_is_split_over_files(spark, layout):
+    many = spark.range(0, 20000, 1, 8).select(F.col("id").alias("text_id"), F.lit("same same words").alias("text"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        append_postings(layout, postings(many, 7), "1")
+        format_index(spark, layout, BEGINNING)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    staged, index = open_staging(spark, layout), open_index(spark, layout)
+    assert staged.count() == index.count() == 40000
+    for table in (staged, index):
+        files = table.groupBy("hash").agg(F.count_distinct(F.input_file_name()).alias("files")).collect()
+        assert all(row.files > 1 for row in files)
+
+
+def test_stream_equals_batch_and_restart_adds_nothing(spark, texts, layout, tmp_path):
+    source, checkpoint = str(tmp_path / "source"), str(tmp_path / "checkpoint")
+
+    def arrive(condition):
+        texts.where(condition).repartition(2).write.mode("append").parquet(source)
+
+    def take():
+        return index_stream(read_text_stream(spark, source, texts.schema, 1), layout, checkpoint, STOPWORDS)
+
+    arrive("text_id < 120")
+    assert take() == 2
+    assert take() == 0
+    assert rows(open_index(spark, layout)) == rows(postings(texts.where("text_id < 120"), 7, STOPWORDS))
+    arrive("text_id >= 120")
+    assert take() == 2
+    assert rows(open_index(spark, layout)) == rows(postings(texts, 7, STOPWORDS))
+    assert read_state(spark, layout.state)[0] == open_texts(spark, layout).count() == 200
+
+
+def test_stream_can_number_its_texts(spark, texts, layout, tmp_path):
+    source = str(tmp_path / "source")
+    texts.repartition(3).write.parquet(source)
+
+    def number(batch, batch_id):
+        start = stored_texts(spark, layout, batch_id) + 1
+        return number_rows(batch, "text_id", "new_id", start).select(F.col("new_id").alias("text_id"), "text")
+
+    stream = read_text_stream(spark, source, texts.schema, 1)
+    assert index_stream(stream, layout, str(tmp_path / "checkpoint"), STOPWORDS, number) == 3
+    ids = sorted(row.text_id for row in open_texts(spark, layout).select("text_id").collect())
+    assert ids == list(range(1, 201))
+
+
+def test_search_reads_only_what_it_needs(spark, texts, layout):
+    index_corpus(spark, layout, {"all": texts}, STOPWORDS)
+    asked = spark.sql("SELECT 1L AS query_id, 'attion to' AS request")
+    found = search(
+        open_index(spark, layout),
+        open_texts(spark, layout),
+        asked,
+        7,
+        n=1000,
+        stopwords=STOPWORDS,
+        vocabulary=open_vocabulary(spark, layout),
+        text_buckets=3,
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bin" in plan and "In(hash" in plan and "dynamicpruning" in plan
+    assert found.count() == 30 and found.agg(F.sum("hits")).first()[0] == 32

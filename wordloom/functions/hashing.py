@@ -13,7 +13,7 @@ DIGESTS = ("sha256", "blake2b")
 
 HEX_DIGITS = 64
 LIMB_DIGITS = 15
-MAX_BINS = 2**31 - 1
+MAX_BINS = 2**30
 
 
 def _blake2b(word: str) -> str:
@@ -52,17 +52,16 @@ def word_hashes(words: Column, digest: str = "sha256") -> Column:
 def bin_of(hash_hex: Column, bins: int) -> Column:
     """``1 + hash mod bins`` over all 256 bits of the hash.
 
-    The number is folded in pieces of 60 bits, so no step leaves the range of a bigint.
+    Sums the remainders of pieces of 60 bits, each times the remainder of its place value; with at most
+    2**30 bins no term leaves the range of a bigint.
     """
     if not 1 <= bins <= MAX_BINS:
         raise ValueError(f"bins must lie in 1..{MAX_BINS}")
-    head = HEX_DIGITS % LIMB_DIGITS
-    shift = (16**LIMB_DIGITS) % bins
-
-    def piece(start: int, length: int) -> Column:
-        return F.conv(F.substring(hash_hex, start + 1, length), 16, 10).cast("bigint")
-
-    rest = piece(0, head) % bins
-    for start in range(head, HEX_DIGITS, LIMB_DIGITS):
-        rest = (rest * F.lit(shift).cast("bigint") + piece(start, LIMB_DIGITS)) % F.lit(bins).cast("bigint")
-    return (rest + 1).cast("int")
+    modulus = F.lit(bins).cast("bigint")
+    total = F.lit(0).cast("bigint")
+    for end in range(HEX_DIGITS, 0, -LIMB_DIGITS):
+        start = max(end - LIMB_DIGITS, 0)
+        piece = F.conv(F.substring(hash_hex, start + 1, end - start), 16, 10).cast("bigint")
+        place = F.lit(pow(16, HEX_DIGITS - end, bins)).cast("bigint")
+        total = total + piece % modulus * place
+    return (total % modulus + 1).cast("int")

@@ -6,6 +6,7 @@ tested only in texts that hold its rarest word. Equal requests are answered once
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,19 +65,21 @@ class RequestSet:
         self.few = self.pinned or _at_most(some, MAX_BROADCAST_ROWS)
         self.distinct = self.members.where("query_id = seq_id").select("seq_id", "hashes")
 
-        hashes = self.distinct.select(F.explode_outer(F.array_distinct("hashes")).alias("hash")).distinct()
-        self.wanted = hashes.select(bin_of(F.col("hash"), bins).alias("bin"), "hash")
-        self.hashes = sorted({value for row in rows for value in row["hashes"]}) if self.pinned else None
-        if self.hashes is not None and len(self.hashes) > MAX_LITERALS:
-            self.hashes = None
-        self.literal = self.hashes is not None
-        if self.literal:
-            self.bins = sorted({int(value, 16) % bins + 1 for value in self.hashes})
-            self.small = True
+        if self.pinned:
+            self.hashes = sorted({value for row in rows for value in row["hashes"]})
+            placed = [int(value, 16) % bins + 1 for value in self.hashes]
+            self.bins = sorted(set(placed))
+            self.small = len(self.hashes) <= MAX_BROADCAST_ROWS
+            words = pa.table({"bin": pa.array(placed, pa.int32()), "hash": pa.array(self.hashes, pa.string())})
+            self.wanted = sequences.sparkSession.createDataFrame(words)
         else:
+            self.hashes = None
+            hashes = self.distinct.select(F.explode_outer(F.array_distinct("hashes")).alias("hash")).distinct()
+            self.wanted = hashes.select(bin_of(F.col("hash"), bins).alias("bin"), "hash")
             # One number per bin at most.
             self.bins = sorted(row.bin for row in self.wanted.select("bin").distinct().collect())
             self.small = _at_most(self.wanted, MAX_BROADCAST_ROWS)
+        self.literal = self.pinned and len(self.hashes) <= MAX_LITERALS
 
     def __call__(self, table: DataFrame) -> DataFrame:
         pruned = table.where(F.col("bin").isin(self.bins))
@@ -90,7 +93,7 @@ class RequestSet:
             counted = self(index).groupBy("hash").agg(F.count(F.lit(1)).alias("texts"))
         else:
             counted = self(vocabulary).select("hash", "texts")
-        return _pin(counted, MAX_LITERALS) if self.literal else (counted, None)
+        return _pin(counted, MAX_PINNED) if self.pinned else (counted, None)
 
     def drivers(self, counts: DataFrame) -> tuple[DataFrame, list[dict] | None]:
         """(driver, driver_texts, seq_id, hashes): each distinct request under its rarest word.
@@ -128,7 +131,7 @@ def _thinned(found: DataFrame, drivers: list[dict], counts: list[dict]) -> DataF
     candidates, everything = sum(rare.values()), sum(row["texts"] for row in counts)
     if candidates > MAX_CANDIDATES or candidates * 4 > everything:
         return found
-    ids = found.where(F.col("hash").isin(sorted(rare))).select("text_id")
+    ids = found.where(F.col("hash").isin(sorted(rare))).select("text_id").distinct()
     return found.join(F.broadcast(ids), "text_id", "left_semi")
 
 
