@@ -62,7 +62,7 @@ def test_phrase_cases(spark, mode):
 
 def random_corpus(seed):
     chooser = random.Random(seed)
-    alphabet = [f"w{i}" for i in range(14)]
+    alphabet = [f"w{chr(97 + i)}" for i in range(14)]
     weights = [30] + [6] * 5 + [1] * 8
     texts = {
         100 + i: " ".join(chooser.choices(alphabet, weights, k=chooser.randint(0, 60))) for i in range(120)
@@ -71,7 +71,7 @@ def random_corpus(seed):
         i: " ".join(chooser.choices(alphabet, weights, k=chooser.choice([1, 1, 2, 2, 3, 4, 12]))) for i in range(60)
     }
     requests[60] = requests[61] = requests[3]
-    requests[62], requests[63], requests[64] = "", "w0 absent", "the"
+    requests[62], requests[63], requests[64] = "", "wa absent", "the"
     return texts, requests
 
 

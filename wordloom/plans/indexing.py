@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -87,18 +88,25 @@ def touched_since(touched: DataFrame, since: datetime) -> DataFrame:
     return touched.where(F.col("generation_timestamp") > F.lit(since).cast("timestamp")).select("bin", "hash").distinct()
 
 
-def format_index(spark: SparkSession, layout: Layout, since: datetime) -> list[int]:
+def _stretches(spark: SparkSession, rows: int, rows_per_file: int) -> int:
+    """How many tasks to cut rows into: full files for much data, all cores for little."""
+    for_cores = min(spark.sparkContext.defaultParallelism, math.ceil(rows / 50_000))
+    return max(math.ceil(rows / rows_per_file), for_cores, 1)
+
+
+def format_index(spark: SparkSession, layout: Layout, since: datetime, rows_per_file: int = 5_000_000) -> list[int]:
     """Rebuild the bins with words touched after ``since`` from all staged postings; returns these bins.
 
     Rows are cut by (bin, hash, text_id): a frequent word is spread over many files, a file holds one
-    stretch of hashes, and row groups outside a request are skipped by their bounds.
+    stretch of hashes, and row groups outside a request are skipped by their bounds. The number of
+    stretches follows the number of rows.
     """
     bins = sorted(row.bin for row in touched_since(open_touched(spark, layout), since).select("bin").distinct().collect())
     if not bins:
         return bins
     staged = open_staging(spark, layout).where(F.col("bin").isin(bins)).drop("batch_id")
     (
-        staged.repartitionByRange("bin", "hash", "text_id")
+        staged.repartitionByRange(_stretches(spark, staged.count(), rows_per_file), "bin", "hash", "text_id")
         .sortWithinPartitions("bin", "hash", "text_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
