@@ -47,8 +47,10 @@ def test_prepare_numbers_kept_rows_only(spark):
 
 
 def test_counts(spark):
-    rows = batch_counts(batch_slice(corpus(spark), "key", 300, 1, 4), ("bg", "en"), previous=5).orderBy("batch_no").collect()
-    assert [tuple(row) for row in rows] == [(1, 200, 200, 205), (2, 200, 400, 405), (3, 200, 600, 605), (4, 67, 667, 672)]
+    batches = batch_slice(corpus(spark), "key", 300, 1, 4)
+    for block in (1, 2, 1000):
+        rows = batch_counts(batches, ("bg", "en"), previous=5, block=block).orderBy("batch_no").collect()
+        assert [tuple(row) for row in rows] == [(1, 200, 200, 205), (2, 200, 400, 405), (3, 200, 600, 605), (4, 67, 667, 672)]
 
 
 def test_corpus_of_few_files_is_spread(spark):

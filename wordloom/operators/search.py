@@ -21,8 +21,10 @@ MODES = ("run", "exact")
 MAX_LITERALS = 500
 # Rows of the request side that are computed once and kept as a local table.
 MAX_PINNED = 10_000
-# Rows of a side that may be broadcast. The rows are short: a hash, the hashes of a request, scores.
+# Rows of a request side that may be broadcast. The rows are short: a hash, the hashes of a request.
 MAX_BROADCAST_ROWS = 200_000
+# Ranked results that may be broadcast to the text table: ids and scores, some 100 bytes a row.
+MAX_RESULTS = 2_000_000
 # Text ids that may be broadcast to thin out the postings before they are shuffled.
 MAX_CANDIDATES = 2_000_000
 
@@ -62,6 +64,7 @@ class RequestSet:
         members = some.join(first, "hashes").select("query_id", "seq_id", "hashes")
         self.members, rows = _pin(members, MAX_PINNED)
         self.pinned = rows is not None
+        self.size = len(rows) if self.pinned else None
         self.few = self.pinned or _at_most(some, MAX_BROADCAST_ROWS)
         self.distinct = self.members.where("query_id = seq_id").select("seq_id", "hashes")
 
@@ -122,7 +125,8 @@ class RequestSet:
 
     def few_results(self, n: int) -> bool:
         """Whether the top n of all requests are few enough to broadcast."""
-        return self.few and _at_most(self.members, MAX_BROADCAST_ROWS // max(n, 1))
+        most = MAX_RESULTS // max(n, 1)
+        return self.size <= most if self.pinned else self.few and _at_most(self.members, most)
 
 
 def _thinned(found: DataFrame, drivers: list[dict], counts: list[dict]) -> DataFrame:

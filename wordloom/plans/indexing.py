@@ -56,9 +56,14 @@ def append_batch(
     digest: str = "sha256",
     generation_timestamp: datetime | None = None,
 ) -> None:
-    """Store a batch of texts and stage its postings."""
+    """Store a batch of texts and stage its postings.
+
+    Words are taken from the stored texts: what the batch needed to be prepared (numbering, filters) runs
+    once, and both tables rest on the same ids whatever happens to the tasks.
+    """
     write_texts(texts, layout.texts, batch_id, layout.text_buckets)
-    new_postings = postings(texts, layout.bins, stopwords, normalize_stopwords, digest)
+    stored = texts.sparkSession.read.parquet(f"{layout.texts}/batch_id={batch_id}")
+    new_postings = postings(stored, layout.bins, stopwords, normalize_stopwords, digest)
     append_postings(layout, new_postings, batch_id, generation_timestamp)
 
 

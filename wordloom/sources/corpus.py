@@ -122,14 +122,31 @@ def prepare(
     return numbered.select("text_id", *metadata, *text)
 
 
-def batch_counts(batches: DataFrame, languages: Sequence[str], language: str = "lang", previous: int = 0) -> DataFrame:
+def batch_counts(
+    batches: DataFrame,
+    languages: Sequence[str],
+    language: str = "lang",
+    previous: int = 0,
+    block: int = 1000,
+) -> DataFrame:
     """(batch_no, texts, run_total, combined_total) of a batched corpus.
 
-    The running totals are taken over one row per batch.
+    Totals run over blocks of batches first and then inside each block, so only one row per block meets
+    in a single task.
     """
     kept = F.count_if(F.col(language).isin(list(languages)))
     per_batch = batches.groupBy("batch_no").agg(kept.alias("texts"))
-    so_far = F.sum("texts").over(Window.orderBy("batch_no"))
-    return per_batch.select("batch_no", "texts", so_far.alias("run_total")).withColumn(
-        "combined_total", F.col("run_total") + F.lit(previous)
+    blocked = per_batch.withColumn("_block", F.floor(F.col("batch_no") / F.lit(block)))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        blocked.groupBy("_block")
+        .agg(F.sum("texts").alias("_texts"))
+        .select("_block", F.coalesce(F.sum("_texts").over(before), F.lit(0)).alias("_before"))
+    )
+    inside = F.sum("texts").over(Window.partitionBy("_block").orderBy("batch_no"))
+    return blocked.join(blocks, "_block").select(
+        "batch_no",
+        "texts",
+        (F.col("_before") + inside).alias("run_total"),
+        (F.col("_before") + inside + F.lit(previous)).alias("combined_total"),
     )
