@@ -139,30 +139,47 @@ def _thinned(found: DataFrame, drivers: list[dict], counts: list[dict]) -> DataF
     return found.join(F.broadcast(ids), "text_id", "left_semi")
 
 
+def _with_driver_mark(
+    found: DataFrame, chosen: RequestSet, drivers: DataFrame, driver_rows: list[dict] | None
+) -> DataFrame:
+    """Mark postings of driver words (``_driver``), so that only these open a test of the text."""
+    if driver_rows is not None and len(driver_rows) <= MAX_LITERALS:
+        return found.withColumn("_driver", F.col("hash").isin(sorted({row["driver"] for row in driver_rows})))
+    if chosen.few:
+        marks = drivers.select(F.col("driver").alias("hash")).distinct().withColumn("_driver", F.lit(True))
+        return found.join(F.broadcast(marks), "hash", "left")
+    return found.withColumn("_driver", F.lit(True))
+
+
 def match_texts(index: DataFrame, chosen: RequestSet, vocabulary: DataFrame | None = None) -> DataFrame:
     """(seq_id, hashes, text_id, total_words, places): texts that hold all words of a request.
 
-    One shuffle of the requested postings, by text. With ``vocabulary`` the counts come from it, and
-    rare words thin out the others before the shuffle.
+    One shuffle of the requested postings, by text; rare words thin out the others before it. Counts
+    come from ``vocabulary`` if given, else from the index. The index is read several times, so it
+    should be a stored table.
     """
     found = chosen(index).select("hash", "text_id", "positions", "total_words")
     counts, count_rows = chosen.counts(index, vocabulary)
     drivers, driver_rows = chosen.drivers(counts)
     if count_rows is not None and driver_rows is not None:
         found = _thinned(found, driver_rows, count_rows)
-    by_text = found.groupBy("text_id").agg(
-        F.max("total_words").alias("total_words"),
-        F.collect_list(F.struct("hash", "positions")).alias("held"),
-    )
-    held = by_text.select(
-        "text_id", "total_words", "held", F.explode(F.array_distinct(F.col("held.hash"))).alias("driver")
+    by_text = (
+        _with_driver_mark(found, chosen, drivers, driver_rows)
+        .groupBy("text_id")
+        .agg(
+            F.max("total_words").alias("total_words"),
+            F.collect_list(F.struct("hash", "positions")).alias("held"),
+            F.collect_set(F.when(F.col("_driver"), F.col("hash"))).alias("_drivers"),
+        )
     )
+    held = by_text.select("text_id", "total_words", "held", F.explode("_drivers").alias("driver"))
     requests = drivers.drop("driver_texts")
     if chosen.few:
         pairs = held.join(F.broadcast(requests), "driver")
     else:
         # Only ids travel to the requests and back; the positions stay where they are.
-        pairs = held.select("text_id", "driver").join(requests, "driver").drop("driver").join(by_text, "text_id")
+        asked = held.select("text_id", "driver").join(requests, "driver").drop("driver")
+        pairs = asked.join(by_text.drop("_drivers"), "text_id")
     has_all = F.forall(
         F.array_distinct("hashes"),
         lambda wanted: F.exists("held", lambda entry: entry["hash"] == wanted),
