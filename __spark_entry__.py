@@ -224,8 +224,10 @@ def stream_index(spark, sf_dir):
     layout = Layout(shared_folder(spark), BINS, TEXT_BUCKETS)
     arriving = f"{layout.root}/arriving"
     texts = _texts(spark, sf_dir)
-    texts.repartition(3, "text_id").write.parquet(arriving)
-    stream = read_text_stream(spark, arriving, texts.schema, files_per_batch=1)
+    texts.write.parquet(arriving)
+    # A third of the files at a time, however many there are.
+    files = len(spark.read.parquet(arriving).inputFiles())
+    stream = read_text_stream(spark, arriving, texts.schema, files_per_batch=-(-files // 3))
     index_stream(stream, layout, f"{layout.root}/checkpoint", STOPWORD_LIST)
     return _flat(indexing.open_index(spark, layout))
 
