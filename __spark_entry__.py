@@ -21,6 +21,14 @@ from wordloom.sources.stopwords import read_stopwords
 from wordloom.sources.texts import text_rows
 from wordloom.streaming.indexer import index_stream, read_text_stream
 
+try:
+    import corpus_pipeline
+    from wordloom.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "wordloom.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 BINS = 19
 TEXT_BUCKETS = 8
 BATCH_ROWS = 150
@@ -306,7 +314,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    more = {**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}
+    return more | {
         "corpus_batch_slice": corpus_batch_slice,
         "corpus_prepare": corpus_prepare,
         "corpus_counts": corpus_counts,
@@ -456,7 +465,10 @@ def oracle_sql() -> dict[str, str]:
     in_order = "row_number() OVER (ORDER BY doc_id)"
     listed = ", ".join(f"('{lang}', '{word}')" for lang, entries in STOPWORDS.items() for word in entries)
     batch = "CASE WHEN lang = 'en' THEN 'en' ELSE 'rest' END AS batch_id"
-    return {
+    more = llm.oracle_sql() if llm else {}
+    if llm and corpus_pipeline.ORACLE_SQL:
+        more["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return more | {
         "corpus_batch_slice": f"""
             WITH n AS (SELECT *, (({in_order}) - 1) // {BATCH_ROWS} + 1 AS batch_no FROM documents)
             SELECT batch_no, doc_id, lang, text FROM n WHERE batch_no BETWEEN 2 AND 5""",
