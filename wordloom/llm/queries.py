@@ -7,13 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, mixing, quality, sharding, simhash
+from wordloom.llm import (
+    decontaminate,
+    licenses,
+    line_dedup,
+    mixing,
+    quality,
+    quotations,
+    sharding,
+    simhash,
+    toxicity,
+    url_filter,
+)
+
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(documents, _table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity(documents, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op2_quotation_linking(spark, sf_dir):
+    return quotations.linked_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op3_line_dedup(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.repeated_lines(documents)
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.size("removed").cast("bigint").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"),
+    )
+
+
 def op4_quality_rules(spark, sf_dir):
     judged = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *[name for name in quality.RESULTS if name != "clean_text"])
@@ -31,6 +72,11 @@ def op5_benchmark_decontamination(spark, sf_dir):
     )
 
 
+def op6_license_scan(spark, sf_dir):
+    scanned = licenses.license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", "licence", "dice", F.array_join("licences", ",").alias("licences"))
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -53,13 +99,23 @@ def op9_mixing(spark, sf_dir):
     )
 
 
+def op10_url_filter(spark, sf_dir):
+    judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("host_words", " ").alias("host_words"), "log_odds")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_quotation_linking": op2_quotation_linking,
+        "op3_line_dedup": op3_line_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_license_scan": op6_license_scan,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_sharding": op8_sharding,
         "op9_mixing": op9_mixing,
+        "op10_url_filter": op10_url_filter,
     }
 
 
