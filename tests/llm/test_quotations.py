@@ -1,0 +1,124 @@
+import re
+
+from wordloom.llm import queries, quotations
+
+SF_DIR = "/root/testdata/sf0.001"
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+
+
+def level_and_content(line):
+    marks = re.match(r"[ \t]*(?:>[ \t]*)+", line)
+    return (marks[0].count(">"), line[marks.end() :]) if marks else (0, line)
+
+
+def normal(text):
+    return re.sub(r"\s+", " ", text.lower()).strip(" ")
+
+
+def brute(rows):
+    """{(conv, turn, text): (text without quotes, n_quotes, n_linked, reply, root, depth)}; ids and turns without nulls."""
+    parsed, held = {}, []
+    for conv, turn, _, text in rows:
+        lines = [level_and_content(line) for line in re.split("\r?\n", text or "")]
+        body = "\n".join(content for level, content in lines if level == 0).strip()
+        found, last = [], 0
+        for level, content in lines:
+            if level and level == last:
+                found[-1][1].append(content)
+            elif level:
+                found.append((level, [content]))
+            last = level
+        parsed[conv, turn, text] = (body, found)
+        units = {normal(u) for u in [body, *re.split(r"\n[ \t]*\n", body), *body.split("\n")]} - {""}
+        held.append(((conv, turn, text), units))
+    replies, counts = {}, {}
+    for (conv, turn, text), (body, found) in parsed.items():
+        linked, best = 0, None
+        for no, (level, contents) in enumerate(found):
+            whole = normal("\n".join(contents))
+            wanted = [u for u in [whole, *(normal(c) for c in sorted(contents, key=lambda c: -len(c)))] if u]
+            source = None
+            for unit in wanted:
+                near = min((t for (c, t, _), units in held if c == conv and unit in units), default=None)
+                far = min(((c, t) for (c, t, _), units in held if unit in units), default=None)
+                if near is not None and near < turn:
+                    source = (conv, near)
+                elif far is not None and far < (conv, turn):
+                    source = far
+                if source:
+                    break
+            linked += source is not None
+            if source and (best is None or (level, no) < best[0]):
+                best = ((level, no), source)
+        counts[conv, turn, text] = (len(found), linked)
+        replies[conv, turn, text] = best[1] if best else None
+    by_place = {(conv, turn): reply for (conv, turn, _), reply in replies.items()}
+    out = {}
+    for (conv, turn, text), reply in replies.items():
+        root, depth = (conv, turn), 0
+        step = reply
+        while step:
+            root, depth, step = step, depth + 1, by_place[step]
+        out[conv, turn, text] = (parsed[conv, turn, text][0], *counts[conv, turn, text], reply, root, depth)
+    return out
+
+
+def digest(frame, rows):
+    texts = {(conv, turn): text for conv, turn, _, text in rows}
+    return {
+        (r.conv_id, r.turn, texts[r.conv_id, r.turn]): (
+            r.text, r.n_quotes, r.n_linked, None if r.reply_conv is None else (r.reply_conv, r.reply_turn), (r.root_conv, r.root_turn), r.depth,
+        )
+        for r in frame.collect()
+    }
+
+
+MAIL = [
+    (1, 0, "a", "When do we meet?\nI am free on Monday.\n\nBest,\nAnn"),
+    (1, 1, "b", "> When do we meet?\n> I am free on Monday.\n\nMonday is fine."),
+    (1, 2, "a", ">> When do we meet?\n> Monday is fine.\nGood.  See you\tthen."),
+    (1, 3, "c", "> good. see YOU then.\nMay I come too?"),
+    (1, 4, "b", "> May I come too?\nSure.\n> nobody ever wrote this\nAnd bring cake."),
+    (2, 0, "d", "Unrelated words."),
+    (2, 1, "d", "> I am free on Monday.\nQuoted from elsewhere."),
+    (2, 2, "e", "   >   > Sure.\n  Deep quote only."),
+    (2, 3, "e", "> > >\n>\n"),
+    (2, 4, "e", "5 > 3 is no quote"),
+    (3, 0, "f", "> later words\nToo early to quote."),
+    (3, 1, "f", "Later words"),
+    (3, 2, "f", "> May I come too?\n> And some added line.\nPartly known."),
+]
+
+
+def test_threads(spark):
+    got = digest(quotations.linked_conversations(spark.createDataFrame(MAIL, SCHEMA)), MAIL)
+    assert got == brute(MAIL)
+    assert got[1, 4, MAIL[4][3]][3:] == ((1, 3), (1, 0), 4)
+    assert got[2, 1, MAIL[6][3]][3] == (1, 0) and got[3, 0, MAIL[10][3]][3] is None
+
+
+def test_long_chain_and_hot_passage(spark):
+    rows = [(1, 0, "a", "message 0")] + [(1, i, "a", f"> message {i - 1}\nmessage {i}") for i in range(1, 70)]
+    rows += [(2, i, "b", f"> message 3\nanswer {i}") for i in range(200)]
+    got = digest(quotations.linked_conversations(spark.createDataFrame(rows, SCHEMA).repartition(5)), rows)
+    assert got == brute(rows)
+    assert max(value[-1] for value in got.values()) == 69
+
+
+def test_edges(spark):
+    rows = [(1, 0, "a", None), (1, 1, None, ""), (None, 0, "a", "x y"), (1, None, "a", "x y"), (2, 0, "a", "same"), (2, 0, "a", "same"), (2, 1, "b", "> same\nyes"), (2, 1, "b", "> same\nyes"), (5, 0, "a", "long " * 100_000)]
+    frame = spark.createDataFrame([(*row, 3) for row in rows], SCHEMA + ", depth int")
+    got = quotations.linked_conversations(frame).collect()
+    assert len(got) == len(rows)
+    answers = [row for row in got if row.role == "b"]
+    assert len(answers) == 2 and all((row.reply_conv, row.reply_turn, row.n_quotes, row.depth) == (2, 0, 1, 1) for row in answers)
+    assert quotations.linked_conversations(frame.limit(0)).count() == 0
+
+
+def test_query_keeps_every_message_in_reply_order(spark):
+    messages = spark.read.parquet(f"{SF_DIR}/conversations.parquet")
+    rows = [tuple(row) for row in messages.select("conv_id", "turn", "role", "text").collect()]
+    result = queries.op2_quotation_linking(spark, SF_DIR)
+    assert digest(result, rows) == brute(rows)
+    order = [(row.root_conv, row.root_turn, row.depth, row.turn) for row in result.collect()]
+    assert order == sorted(order)

@@ -1,0 +1,94 @@
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from wordloom.llm import queries, simhash
+from wordloom.llm.components import components, forest
+
+SF_DIR = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def fingerprint(text):
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), word) for word in WORD.findall(text or "")]
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(shingle.encode(), seed=42) for shingle in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def brute(documents):
+    prints = [fingerprint(text) for _, text in documents]
+    distinct = sorted(set(prints))
+    links = [(i, j) for i, a in enumerate(distinct) for j in range(i) if (a ^ distinct[j]).bit_count() <= 4]
+    root = dict(forest(links))
+    component = {p: root.get(i, i) for i, p in enumerate(distinct)}
+    smallest = {}
+    for (doc_id, _), p in zip(documents, prints):
+        if doc_id is not None:
+            smallest[component[p]] = min(doc_id, smallest.get(component[p], doc_id))
+    return Counter((doc_id, f"{p:016x}", smallest.get(component[p])) for (doc_id, _), p in zip(documents, prints))
+
+
+def test_query_equals_brute_force(spark):
+    documents = [tuple(row) for row in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+    got = Counter(tuple(row) for row in queries.op7_simhash_near_dedup(spark, SF_DIR).collect())
+    assert got == brute(documents)
+    assert len({component for _, _, component in got}) < len(documents)
+
+
+PROSE = " ".join(f"word{i * 7919 % 1009}" for i in range(600))
+EDGES = [
+    (5, None), (3, ""), (4, " \n"), (9, "one"), (2, "one two three"), (2, "One  two\nTHREE"), (None, PROSE), (8, PROSE), (7, PROSE + " more"),
+    (6, PROSE.replace("word7 ", "x ")), (8, PROSE), (1, "ünï çode ß a b c"), (None, "only a null id has this text"), (11, "y " * 200_000),
+]
+
+
+@pytest.mark.parametrize("max_bucket", [simhash.MAX_BUCKET, 2])
+def test_edges_and_buckets_cut_into_blocks(spark, max_bucket):
+    frame = spark.createDataFrame([(*row, "f") for row in EDGES], "doc_id bigint, text string, fingerprint string")
+    found = simhash.near_duplicates(frame, max_bucket=max_bucket).collect()
+    got = Counter((r.doc_id, f"{r.fingerprint & (1 << 64) - 1:016x}", r.component_id) for r in found)
+    assert got == brute(EDGES)
+    kept = simhash.keep_one(frame, max_bucket=max_bucket)
+    assert kept.columns == frame.columns
+    groups = {(p, c) for _, p, c in brute(EDGES)}
+    components_left = {c for _, c in groups}
+    rows = kept.collect()
+    assert len(rows) == len(components_left)
+    assert {row.doc_id for row in rows} == components_left
+
+
+def test_empty_table(spark):
+    frame = spark.createDataFrame([], "doc_id bigint, text string")
+    assert simhash.near_duplicates(frame).count() == 0
+    assert simhash.keep_one(frame).count() == 0
+
+
+def test_masks_cover_every_pair_within_the_radius():
+    draw = np.random.default_rng(7)
+    masks = [mask & (1 << 64) - 1 for mask in simhash.covering_masks()]
+    assert len(masks) == 31
+    assert all(20 <= mask.bit_count() <= 44 for mask in masks)
+    for _ in range(5000):
+        difference = sum(1 << int(bit) for bit in draw.choice(64, draw.integers(1, 5), replace=False))
+        assert any(mask & difference == 0 for mask in masks)
+
+
+def test_dense_buckets_send_one_link_per_member():
+    prints = np.array([1 << i for i in range(40)] + [0], dtype=np.int64)
+    members, roots = simhash.linked(prints, 4)
+    assert len(members) == 40 and set(roots) == {0}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_chains_stars_and_random_links(spark, seed):
+    draw = np.random.default_rng(seed)
+    links = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1400)]
+    links += [tuple(int(x) for x in draw.integers(2000, 4000, 2)) for _ in range(900)] + [(-5, -9), (7000, 7000)]
+    frame = spark.createDataFrame(links, "left bigint, right bigint").repartition(7)
+    want = {node: root for node, root in forest(links)}
+    assert {row.node: row.root for row in components(frame).collect()} == want
+    assert components(frame.limit(0)).count() == 0
