@@ -85,7 +85,7 @@ def _feature_lists(features: np.ndarray):
         marked[features] = True
         for batch in batches:
             places = [np.searchsorted(features, present(text, marked)).astype(np.int32) for text in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "places": places})
+            yield pd.DataFrame({"row": batch["row"], "toxic": batch["toxic"], "places": places})
 
     return lists
 
@@ -136,7 +136,7 @@ def learn(
     )
     # At most max_rows short rows, so they fit every task.
     texts = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    rows = written(texts.join(F.broadcast(chosen), "id").select("text", "toxic").repartition(COUNTING_TASKS))
+    rows = written(texts.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("row"), "text", "toxic").repartition(COUNTING_TASKS))
     toxic, clean = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     none = np.zeros(0, dtype=np.int64)
     if not toxic or not clean:
@@ -150,7 +150,8 @@ def learn(
     best = counts.select("feature", ratio.alias("ratio"), certain.alias("certain"))
     best = best.orderBy(F.desc("certain"), "feature").limit(n_features).toPandas().sort_values("feature")
     features = best["feature"].to_numpy()
-    held = rows.mapInPandas(_feature_lists(features), "toxic int, places array<int>").toPandas()
+    held = rows.mapInPandas(_feature_lists(features), "row bigint, toxic int, places array<int>").toPandas()
+    held = held.sort_values("row")  # sums in the same order give the same weights in each run
     weights, bias = _fit(list(held["places"]), held["toxic"].to_numpy(dtype=float), best["ratio"].to_numpy())
     return Model(features, weights, bias)
 
