@@ -14,9 +14,9 @@ from wordloom.operators import search as find
 from wordloom.operators.requests import request_sequences, request_words
 from wordloom.plans import indexing
 from wordloom.plans.layout import Layout
-from wordloom.session import shared_folder
+from wordloom.session import configure, shared_folder
 from wordloom.sources import corpus as corpora
-from wordloom.sources.state import latest_state, read_state, write_state
+from wordloom.sources.state import latest_state
 from wordloom.sources.stopwords import read_stopwords
 from wordloom.sources.texts import text_rows
 from wordloom.streaming.indexer import index_stream, read_text_stream
@@ -50,6 +50,7 @@ PHRASES = [
     "für",
 ]
 FIRST_PHRASE_ID = 1_000_000_000
+MISSING_SOURCE = "src3"
 
 
 # --- inputs -----------------------------------------------------------------------------------
@@ -136,13 +137,11 @@ def corpus_counts(spark, sf_dir):
 
 
 def corpus_state(spark, sf_dir):
-    path = shared_folder(spark)
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for languages in (("en", "de"), ("fr",)):
-        previous, _ = read_state(spark, path)
-        added = documents.where(F.col("lang").isin(*languages)).count()
-        write_state(spark, path, previous + added, indexing.now())
-    return latest_state(spark.read.parquet(path)).select("texts_total")
+    layout = Layout(shared_folder(spark), BINS, TEXT_BUCKETS)
+    texts = _texts(spark, sf_dir)
+    for batches in ({"001": "lang = 'en'", "002": "lang = 'de'"}, {"002": "lang = 'de'", "2024-01-01": "lang NOT IN ('en', 'de')"}):
+        indexing.index_corpus(spark, layout, {batch_id: texts.where(of) for batch_id, of in batches.items()}, STOPWORD_LIST)
+    return latest_state(spark.read.parquet(layout.state)).select("texts_total")
 
 
 def stopwords(spark, sf_dir):
@@ -160,9 +159,16 @@ def text_store(spark, sf_dir):
 
 
 def text_read(spark, sf_dir):
+    """All or nothing, with the texts of one source missing."""
     index, vocabulary, texts = _open(spark, sf_dir)
     hits = find.multi_word_search(index, _sequences(spark, sf_dir), BINS, 5, vocabulary)
-    return _scores(find.read_texts(hits, texts, TEXT_BUCKETS, require_all=True))
+    return _scores(find.read_texts(hits, texts.where(f"source <> '{MISSING_SOURCE}'"), TEXT_BUCKETS, require_all=True))
+
+
+def texts_missing(spark, sf_dir):
+    index, vocabulary, texts = _open(spark, sf_dir)
+    hits = find.multi_word_search(index, _sequences(spark, sf_dir), BINS, 5, vocabulary)
+    return find.missing_texts(hits, texts.where(f"source <> '{MISSING_SOURCE}'"), TEXT_BUCKETS)
 
 
 # --- words and postings -----------------------------------------------------------------------
@@ -228,6 +234,15 @@ def index_format(spark, sf_dir):
     return _flat(indexing.open_index(spark, _appended(spark, sf_dir, True)))
 
 
+def index_replace(spark, sf_dir):
+    """A batch that was formatted and is then replaced by other texts: only those are left."""
+    layout = Layout(shared_folder(spark), BINS, TEXT_BUCKETS)
+    texts = _texts(spark, sf_dir)
+    for version in ("lang = 'en'", "lang <> 'en'"):
+        indexing.index_corpus(spark, layout, {"001": texts.where(version)}, STOPWORD_LIST)
+    return _flat(indexing.open_index(spark, layout))
+
+
 def stream_index(spark, sf_dir):
     layout = Layout(shared_folder(spark), BINS, TEXT_BUCKETS)
     arriving = f"{layout.root}/arriving"
@@ -302,6 +317,13 @@ def search(spark, sf_dir):
     )
 
 
+def search_blake2b(spark, sf_dir):
+    """The flagship query with the other digest."""
+    texts = _texts(spark, sf_dir)
+    index = words.postings(texts, BINS, STOPWORD_LIST, digest="blake2b")
+    return _scores(find.search(index, texts, _requests(spark, sf_dir), BINS, stopwords=STOPWORD_LIST, digest="blake2b"))
+
+
 def search_summary(spark, sf_dir):
     index, known, _ = _open(spark, sf_dir)
     hits = find.search_hits(index, _sequences(spark, sf_dir), BINS, 10, "run", known)
@@ -310,12 +332,16 @@ def search_summary(spark, sf_dir):
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: answer all requests on the indexed documents."""
-    return search(spark, "/root/testdata/sf0.001")
+    return search(configure(spark), "/root/testdata/sf0.001")
+
+
+def _configured(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(configure(spark), sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     more = {**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}
-    return more | {
+    own = {
         "corpus_batch_slice": corpus_batch_slice,
         "corpus_prepare": corpus_prepare,
         "corpus_counts": corpus_counts,
@@ -323,6 +349,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stopwords": stopwords,
         "text_store": text_store,
         "text_read": text_read,
+        "texts_missing": texts_missing,
         "tokenize": tokenize,
         "tokenize_stopwords": tokenize_stopwords,
         "word_hash": word_hashes,
@@ -332,6 +359,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "index_append": index_append,
         "touched_hashes": touched_hashes,
         "index_format": index_format,
+        "index_replace": index_replace,
         "stream_index": stream_index,
         "request_hash": request_hash,
         "posting_lookup": posting_lookup,
@@ -341,8 +369,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "phrase_search": phrase_search,
         "ranked_topk": ranked_topk,
         "search": search,
+        "search_blake2b": search_blake2b,
         "search_summary": search_summary,
     }
+    return more | {name: _configured(query) for name, query in own.items()}
 
 
 # --- the same in SQL --------------------------------------------------------------------------
@@ -383,7 +413,7 @@ grouped AS (
 ),
 hashes AS (SELECT word, sha256(word) AS hash FROM (SELECT DISTINCT word FROM tokens)),
 bins AS (SELECT word, hash, {_sql_bin("hash", BINS)} AS bin FROM hashes),
-postings AS (
+postings AS MATERIALIZED (
     SELECT bin, hash, text_id, positions, total_words, occurrences, word FROM grouped JOIN bins USING (word)
 )"""
 
@@ -479,7 +509,7 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT batch_no, count(*) FILTER (WHERE lang IN ('en', 'de')) AS texts FROM n GROUP BY batch_no),
             r AS (SELECT batch_no, texts, (sum(texts) OVER (ORDER BY batch_no))::BIGINT AS run_total FROM c)
             SELECT batch_no, texts, run_total, run_total + 100 AS combined_total FROM r""",
-        "corpus_state": "SELECT count(*) AS texts_total FROM documents WHERE lang IN ('en', 'de', 'fr')",
+        "corpus_state": "SELECT count(*) AS texts_total FROM documents",
         "stopwords": f"""
             WITH {_sql_tokens(False)},
             listed AS (SELECT * FROM (VALUES {listed}) AS s(lang, word)),
@@ -490,7 +520,14 @@ def oracle_sql() -> dict[str, str]:
         "text_read": f"""
             WITH {_sql_hits("run")}
             SELECT {scores}, lang, source, n_chars, text
-            FROM ranked JOIN documents ON doc_id = text_id WHERE n > 1 AND rank <= 5""",
+            FROM ranked JOIN documents ON doc_id = text_id WHERE n > 1 AND rank <= 5 AND query_id NOT IN (
+                SELECT query_id FROM ranked JOIN documents ON doc_id = text_id
+                WHERE n > 1 AND rank <= 5 AND source = '{MISSING_SOURCE}'
+            )""",
+        "texts_missing": f"""
+            WITH {_sql_hits("run")}
+            SELECT query_id, text_id FROM ranked JOIN documents ON doc_id = text_id
+            WHERE n > 1 AND rank <= 5 AND source = '{MISSING_SOURCE}'""",
         "tokenize": f"WITH {_sql_tokens(False)} SELECT text_id, position, word FROM tokens",
         "tokenize_stopwords": f"WITH {_sql_tokens()} SELECT text_id, position, word FROM tokens",
         "word_hash": f"WITH {_sql_tokens(False)} SELECT DISTINCT word, sha256(word) AS hash FROM tokens",
@@ -508,6 +545,9 @@ def oracle_sql() -> dict[str, str]:
             WITH {_sql_postings()}
             SELECT DISTINCT {batch}, bin, hash FROM postings JOIN documents ON doc_id = text_id""",
         "index_format": f"WITH {_sql_postings()} SELECT {postings_columns} FROM postings",
+        "index_replace": f"""
+            WITH {_sql_postings()}
+            SELECT {postings_columns} FROM postings JOIN documents ON doc_id = text_id WHERE lang <> 'en'""",
         "stream_index": f"WITH {_sql_postings()} SELECT {postings_columns} FROM postings",
         "request_hash": f"WITH {_sql_requests()} SELECT query_id, ord, sha256(word) AS hash, alias, n, k FROM asked",
         "posting_lookup": f"""
@@ -526,6 +566,9 @@ def oracle_sql() -> dict[str, str]:
         "search": f"""
             WITH {_sql_hits("run")}
             SELECT {scores}, lang, source, n_chars, text FROM ranked JOIN documents ON doc_id = text_id WHERE rank <= 10""",
+        "search_blake2b": f"""
+            WITH {_sql_hits("run")}
+            SELECT {scores}, lang, source, n_chars, text FROM ranked JOIN documents ON doc_id = text_id WHERE rank <= 10""",
         "search_summary": f"""
             WITH {_sql_hits("run")},
             c AS (SELECT query_id, count(*) AS results FROM ranked WHERE rank <= 10 GROUP BY query_id)

@@ -1,8 +1,10 @@
 import json
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
+from wordloom.sources import corpus as corpora
 from wordloom.sources.corpus import batch_counts, batch_slice, number_rows, prepare, read_corpus
 from wordloom.sources.state import BEGINNING, read_state, write_state
 from wordloom.sources.stopwords import read_stopwords
@@ -33,7 +35,38 @@ def test_slice_leaves_other_ranges_out_of_the_scan(spark, tmp_path):
     corpus(spark).write.parquet(str(tmp_path / "c"))
     sliced = batch_slice(spark.read.parquet(str(tmp_path / "c")), "key", 150, 2, 3)
     plan = sliced._jdf.queryExecution().executedPlan().toString()
-    assert "LessThan(key" in plan
+    assert "LessThanOrEqual(key" in plan and "GreaterThanOrEqual(key" in plan
+
+
+@pytest.mark.parametrize("key", ["id + 9007199254740992", "id * 4503599627370497 + 7", "concat('k', lpad(id, 6, '0'))", "cast(id as decimal(30, 2))"])
+def test_keys_of_any_size_and_type_lose_no_row(spark, tmp_path, key):
+    spark.range(0, 2000, 1, 7).selectExpr(f"{key} AS key", "id").write.parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    parts = [batch_slice(stored, "key", 100, first, first + 4) for first in range(1, 21, 5)]
+    rows = [row for part in parts for row in part.collect()]
+    assert sorted((row.id, row.batch_no) for row in rows) == [(i, i // 100 + 1) for i in range(2000)]
+
+
+def test_rows_without_a_key_are_numbered_by_their_place(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpora, "PIECE_ROWS", 64)
+    spark.range(0, 1000, 1, 5).selectExpr("id", "if(id % 3 = 0, 'bg', 'en') AS lang", "'x' AS body").write.parquet(str(tmp_path / "c"))
+    stored = read_corpus(spark, str(tmp_path / "c"))
+    rows = number_rows(stored).collect()
+    assert sorted(row.row_no for row in rows) == list(range(1, 1001))
+    by_number = [row.id for row in sorted(rows, key=lambda row: row.row_no)]
+    assert sum(b != a + 1 for a, b in zip(by_number, by_number[1:])) <= 4  # in order inside each file
+    sliced = batch_slice(stored, None, 150, 2, 3).collect()
+    assert sorted(row.id for row in sliced) == sorted(by_number[150:450]) and {row.batch_no for row in sliced} == {2, 3}
+    texts = prepare(stored, None, ("bg",), {"body": "text", "id": "id"}, start=5)
+    assert sorted(row.text_id for row in texts.collect()) == list(range(5, 5 + 334))
+    with pytest.raises(ValueError):
+        number_rows(spark.range(5))
+
+
+def test_keys_must_be_unique(spark):
+    for frame in (spark.sql("SELECT 1 AS key UNION ALL SELECT 1"), spark.sql("SELECT 1 AS key UNION ALL SELECT NULL")):
+        with pytest.raises(ValueError):
+            number_rows(frame, "key")
 
 
 def test_prepare_numbers_kept_rows_only(spark):

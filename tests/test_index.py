@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from wordloom import Layout, append_batch, format_index, index_corpus, open_index, open_texts, open_vocabulary, search
 from wordloom.operators.postings import postings, vocabulary
+from wordloom.operators.requests import request_sequences
+from wordloom.operators.search import search_hits
+from wordloom.plans import indexing
 from wordloom.plans.indexing import append_postings, open_staging, open_touched, stored_texts, touched_since
 from wordloom.sources.corpus import number_rows
 from wordloom.sources.state import BEGINNING, read_state
@@ -68,6 +71,48 @@ def test_repeated_batch_replaces_itself(spark, texts, layout):
     assert stored_texts(spark, layout) == 30 and stored_texts(spark, layout, "b") == 29
 
 
+@pytest.mark.parametrize("between", [0, 1])
+def test_replaced_batch_leaves_no_word_behind(spark, layout, between):
+    versions = ["a b c d e f g h i j", "k l m", "omega"]
+    other = spark.createDataFrame([(9, "a other")], "text_id long, text string")
+    index_corpus(spark, layout, {"other": other, "001": spark.createDataFrame([(1, versions[0])], other.schema)})
+    if between:  # replaced twice before the next format
+        append_batch(layout, spark.createDataFrame([(1, versions[1])], other.schema), "001")
+    last = spark.createDataFrame([(1, versions[2])], other.schema)
+    total, _ = index_corpus(spark, layout, {"001": last})
+    want = postings(other.union(last), 7)
+    assert total == open_texts(spark, layout).count() == 2
+    assert rows(open_index(spark, layout)) == rows(want)
+    counts = sorted(tuple(row) for row in open_vocabulary(spark, layout).select("bin", "hash", "texts", "occurrences").collect())
+    assert counts == sorted(tuple(row) for row in vocabulary(want).collect())
+
+
+def test_batch_ids_that_look_like_numbers_and_dates(spark, texts, layout):
+    batches = {"001": texts.where("text_id < 10"), "1": texts.where("text_id = 10"), "2024-01-01": texts.where("text_id = 11")}
+    assert index_corpus(spark, layout, batches, STOPWORDS)[0] == 12
+    assert index_corpus(spark, layout, {"001": texts.where("text_id < 9")}, STOPWORDS)[0] == 11
+    assert stored_texts(spark, layout, "2024-01-01") == 10 and stored_texts(spark, layout, "001") == 11
+    assert {row.batch_id for row in open_texts(spark, layout).select("batch_id").distinct().collect()} == set(batches)
+    assert rows(open_index(spark, layout)) == rows(postings(texts.where("text_id < 12 AND text_id <> 9"), 7, STOPWORDS))
+
+
+def test_batch_logged_during_a_format_is_left_for_the_next(spark, layout, monkeypatch):
+    first, second = (spark.createDataFrame([row], "text_id long, text string") for row in ((1, "a b"), (2, "c d")))
+    format_now = indexing.format_index
+
+    def interrupted(spark, layout, since):
+        bins = format_now(spark, layout, since)
+        append_batch(layout, second, "late")
+        return bins
+
+    monkeypatch.setattr(indexing, "format_index", interrupted)
+    index_corpus(spark, layout, {"early": first})
+    assert rows(open_index(spark, layout)) == rows(postings(first, 7))
+    monkeypatch.setattr(indexing, "format_index", format_now)
+    index_corpus(spark, layout, {})
+    assert rows(open_index(spark, layout)) == rows(postings(first.union(second), 7))
+
+
 def test_only_bins_touched_later_are_rebuilt(spark, layout):
     first = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p")], "text_id long, text string")
     second = spark.createDataFrame([(2, "a a")], first.schema)
@@ -145,6 +190,48 @@ def test_search_reads_only_what_it_needs(spark, texts, layout):
         vocabulary=open_vocabulary(spark, layout),
         text_buckets=3,
     )
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bin" in plan and "In(hash" in plan and "dynamicpruning" in plan
+    hits = search_hits(open_index(spark, layout), request_sequences(asked, STOPWORDS), 7, vocabulary=open_vocabulary(spark, layout))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bin" in plan and "In(hash" in plan
     assert found.count() == 30 and found.agg(F.sum("hits")).first()[0] == 32
+
+
+def scans(frame):
+    """{folder: (partitions, files)} that the executed plan of a collected frame read."""
+    frame.collect()
+    plan, read = frame._jdf.queryExecution().executedPlan().toString(), {}
+    leaves, stack = [], [frame._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            stack.append(node.plan())
+        elif name == "FileSourceScanExec":
+            leaves.append(node)
+        else:
+            children = node.children()
+            stack += [children.apply(i) for i in range(children.size())]
+    for leaf in leaves:
+        metric = leaf.metrics()
+        folder = leaf.relation().location().rootPaths().head().getName()
+        number = lambda key: metric.apply(key).value() if metric.contains(key) else None  # noqa: E731, B023
+        read[folder] = (number("numPartitions"), number("numFiles"))
+    assert plan
+    return read
+
+
+def test_text_lookup_reads_only_the_buckets_and_files_of_the_results(spark, texts, tmp_path):
+    layout = Layout(str(tmp_path / "library"), 7, 8)
+    index_corpus(spark, layout, {"all": texts}, STOPWORDS)
+    asked = spark.sql("SELECT 1L AS query_id, 'attion to' AS request")
+    stored = open_texts(spark, layout)
+    assert stored.select("text_bucket").distinct().count() == 8
+    for require_all in (False, True):
+        found = search(
+            open_index(spark, layout), stored, asked, 7, n=1, stopwords=STOPWORDS,
+            vocabulary=open_vocabulary(spark, layout), text_buckets=8, require_all=require_all,
+        )
+        partitions, files = scans(found)["texts"]
+        assert partitions == 1 and files <= 2

@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -15,11 +17,15 @@ def oracle():
     return connection
 
 
+# Queries for training data have tests of their own.
+NAMES = sorted(name for name in entry.queries() if not re.match(r"op\d+_|pipeline$", name))
+
+
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(NAMES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, oracle, name):
     frame = entry.queries()[name](spark, SF_DIR)
     columns = sorted(frame.columns)

@@ -76,13 +76,16 @@ def random_corpus(seed):
 
 
 @pytest.mark.parametrize("mode", ["run", "exact"])
-@pytest.mark.parametrize("limits", ["usual", "joined", "unbounded"])
+@pytest.mark.parametrize("limits", ["usual", "joined", "wide", "unbounded"])
 def test_equals_brute_force_on_every_path(spark, monkeypatch, mode, limits):
     if limits == "joined":
         monkeypatch.setattr(find, "MAX_LITERALS", 0)
     if limits == "unbounded":
-        for name in ("MAX_LITERALS", "MAX_PINNED", "MAX_BROADCAST_ROWS"):
+        for name in ("MAX_LITERALS", "MAX_PINNED", "MAX_BROADCAST_ROWS", "MAX_CANDIDATES"):
             monkeypatch.setattr(find, name, 0)
+    if limits == "wide":
+        for name in ("MAX_PINNED_WORDS", "MAX_BROADCAST_WORDS"):
+            monkeypatch.setattr(find, name, 10)
     texts, requests = random_corpus(7)
     _, index, asked = frames(spark, texts, requests, ["the"])
     sequences = request_sequences(asked, ["the"])
@@ -97,6 +100,29 @@ def test_equals_brute_force_on_every_path(spark, monkeypatch, mode, limits):
     assert got == ranked(want, 5)
 
 
+@pytest.mark.parametrize("most", [find.MAX_CANDIDATES, 0])
+def test_candidates_beyond_the_bound_are_not_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(find, "MAX_CANDIDATES", most)
+    texts = {i: "common word here" for i in range(50)} | {1000: "common rare word"}
+    requests = {1: "common rare"}
+    _, index, asked = frames(spark, texts, requests)
+    got = find.search_hits(index, request_sequences(asked), BINS, 10, "run", vocabulary(index))
+    assert hits_of(got) == answers(texts, requests, "run")
+
+
+def test_words_are_settled_without_positions_and_single_words_without_a_shuffle_of_texts(spark, tmp_path):
+    texts, requests = random_corpus(5)
+    _, index, asked = frames(spark, texts, requests)
+    index.write.partitionBy("bin").parquet(str(tmp_path / "index"))
+    stored = spark.read.schema(index.schema).parquet(str(tmp_path / "index"))
+    sequences = request_sequences(asked)
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    assert "positions" not in plan(find.all_words_filter(stored, sequences, BINS))
+    single = find.single_word_search(stored, sequences, BINS)
+    assert "hashpartitioning(text_id" not in plan(single)
+    assert set(hits_of(single)) == {i for i, words in requests.items() if len(words.split()) == 1 and i in answers(texts, requests, "run")}
+
+
 def test_rare_words_thin_out_common_ones(spark):
     texts = {i: "common word here" for i in range(300)} | {1000: "common rare word", 1001: "rare common"}
     requests = {1: "common rare", 2: "rare common"}
@@ -144,7 +170,9 @@ def test_result_does_not_depend_on_bins_or_digest(spark):
         assert hits_of(find.search_hits(index, sequences, bins, 10**6)) == want
 
 
-def test_texts_are_joined_in_order_with_all_or_nothing(spark):
+@pytest.mark.parametrize("most", [find.MAX_RESULTS, 0])
+def test_texts_are_joined_in_order_with_all_or_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(find, "MAX_RESULTS", most)
     texts, requests = {1: "a b", 2: "a b c", 3: "c"}, {1: "a b", 2: "c"}
     table, index, asked = frames(spark, texts, requests)
     stored = table.withColumn("title", F.lit("t")).select("text_id", "title", "text").where("text_id <> 2")

@@ -1,8 +1,10 @@
 import hashlib
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom.functions import text as text_functions
 from wordloom.functions.hashing import bin_of, word_hash, word_hashes
 from wordloom.functions.matching import frequency
 from wordloom.functions.text import kept_words, stopword_list, words
@@ -50,6 +52,28 @@ def test_words_equal_public_tokenizer(spark):
         assert row.words == expected
 
 
+def test_composed_and_decomposed_hangul_are_equal(spark):
+    composed = ["한국", "각 가 힣", "a한b 국!", "漢字 한글 été"]
+    frame = spark.createDataFrame([(c, unicodedata.normalize("NFD", c)) for c in composed], "c string, d string")
+    for row in frame.select("c", words(F.col("c")).alias("of_c"), words(F.col("d")).alias("of_d")).collect():
+        assert row.of_c == row.of_d
+        assert "".join(row.of_c) == "".join(x for x in unicodedata.normalize("NFD", row.c) if x.isalpha()).lower()
+
+
+@pytest.mark.parametrize("as_table", [True, False])
+def test_stopword_lists_of_any_length(spark, monkeypatch, as_table):
+    texts = spark.createDataFrame([(1, "A the b THE c наи"), (2, "the"), (3, "")], "text_id long, text string")
+    listed = ["the", "най"] + [f"x{i}" for i in range(300)]
+    stopwords = spark.createDataFrame([(word,) for word in listed + listed], "word string") if as_table else listed
+    for normal in (False, True):
+        monkeypatch.undo()
+        short = sorted(map(tuple, tokenize(texts, stopwords, normal).collect()))
+        assert len(short) == (3 if normal else 4)
+        monkeypatch.setattr(text_functions, "MAX_STOPWORDS", 10)
+        assert stopword_list(stopwords) is None
+        assert sorted(map(tuple, tokenize(texts, stopwords, normal).collect())) == short
+
+
 def test_stopwords_are_dropped_before_numbering(spark):
     texts = spark.createDataFrame([(1, "A the b THE c")], "text_id long, text string")
     got = [(row.position, row.word) for row in tokenize(texts, ["the"]).orderBy("position").collect()]

@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def places(held: Column, hashes: Column) -> Column:
+def places(held: Column, asked: Column) -> Column:
     """Sorted positions per distinct word of the request, in alias order.
 
-    ``held`` is an array of (hash, positions) of the text. A text indexed twice has its positions merged.
+    ``held`` is an array of (word, positions) of the text, ``asked`` the words of the request. A text indexed twice
+    has its positions merged.
     """
 
     def of_word(wanted: Column) -> Column:
-        lists = F.transform(F.filter(held, lambda entry: entry["hash"] == wanted), lambda entry: entry["positions"])
+        lists = F.transform(F.filter(held, lambda entry: entry["word"] == wanted), lambda entry: entry["positions"])
         return F.sort_array(F.array_distinct(F.flatten(lists)))
 
-    return F.transform(F.array_distinct(hashes), of_word)
+    return F.transform(F.array_distinct(asked), of_word)
 
 
 def aliases(hashes: Column) -> Column:

@@ -8,17 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import bin_of, word_hash
-from wordloom.functions.text import kept_words, stopword_list
+from wordloom.functions.text import word_arrays
 
 Stopwords = DataFrame | Iterable[str] | None
 
 
 def tokenize(texts: DataFrame, stopwords: Stopwords = None, normalize_stopwords: bool = False) -> DataFrame:
     """(text_id, position, word): one row per kept word, positions from 0 over the kept words."""
-    listed = stopword_list(stopwords, normalize_stopwords)
     # The outer form keeps the optimizer from testing the word array before it builds it.
     return (
-        texts.select("text_id", kept_words(F.col("text"), listed).alias("_words"))
+        word_arrays(texts, "text_id", "text", stopwords, normalize_stopwords)
         .select("text_id", F.posexplode_outer("_words").alias("position", "word"))
         .where(F.col("word").isNotNull())
     )
@@ -53,13 +52,12 @@ def postings(
     Words are grouped inside the row of their text, so nothing is shuffled; the hash is taken once
     per text and word, not once per occurrence.
     """
-    listed = stopword_list(stopwords, normalize_stopwords)
     firsts, groups = _word_positions()
     pairs = F.sort_array(
         F.transform("_words", lambda word, i: F.struct(word.alias("word"), i.alias("position")))
     )
     grouped = (
-        texts.select(F.col("text_id").cast("bigint").alias("text_id"), kept_words(F.col("text"), listed).alias("_words"))
+        word_arrays(texts.select(F.col("text_id").cast("bigint").alias("text_id"), "text"), "text_id", "text", stopwords, normalize_stopwords)
         .select("text_id", F.size("_words").alias("total_words"), pairs.alias("_sorted"))
         .withColumn("_firsts", firsts)
         .withColumn("_groups", groups)

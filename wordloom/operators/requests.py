@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import word_hashes
-from wordloom.functions.text import kept_words, stopword_list
+from wordloom.functions.text import word_arrays
 from wordloom.operators.postings import Stopwords
 
 
@@ -17,10 +17,8 @@ def request_sequences(
     digest: str = "sha256",
 ) -> DataFrame:
     """(query_id, hashes): the words of each request as one array, order and duplicates kept."""
-    listed = stopword_list(stopwords, normalize_stopwords)
-    return requests.select("query_id", kept_words(F.col("request"), listed).alias("_words")).select(
-        "query_id", word_hashes(F.col("_words"), digest).alias("hashes")
-    )
+    split = word_arrays(requests, "query_id", "request", stopwords, normalize_stopwords)
+    return split.select("query_id", word_hashes(F.col("_words"), digest).alias("hashes"))
 
 
 def request_words(sequences: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Search: from requests and postings to ranked texts.
 
-Postings of all requested words are read once and brought together per text; a request is then
-tested only in texts that hold its rarest word. Equal requests are answered once.
+Requests of one word are ranked where their postings lie. For the others the words of each text meet first, as
+numbers and without positions; a request is tested only in texts that hold its rarest word. Positions are then
+read for the texts that have all words of some request. Equal requests are answered once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import bin_of
@@ -19,21 +22,26 @@ MODES = ("run", "exact")
 
 # Up to this many hashes are placed into the scan as values; beyond, they are joined.
 MAX_LITERALS = 500
-# Rows of the request side that are computed once and kept as a local table.
+# Rows, and words in them, of a request side that is computed once and kept as a local table (a word is 64 bytes).
 MAX_PINNED = 10_000
-# Rows of a request side that may be broadcast. The rows are short: a hash, the hashes of a request.
+MAX_PINNED_WORDS = 500_000
+# Rows, and words in them, of a request side that may be broadcast; beyond, the planner chooses the join.
 MAX_BROADCAST_ROWS = 200_000
-# Ranked results that may be broadcast to the text table: ids and scores, some 100 bytes a row.
-MAX_RESULTS = 2_000_000
+MAX_BROADCAST_WORDS = 1_000_000
+# Ranked results that are held as a local table, so that their ids become values in the scan of the texts: ids and
+# scores, some 100 bytes a row. More results are joined.
+MAX_RESULTS = 10_000
 # Text ids that may be broadcast to thin out the postings before they are shuffled.
 MAX_CANDIDATES = 2_000_000
 
 HIT_COLUMNS = ["hits", "matching_words", "total_words", "matching_words_frequency"]
 
 
-def _at_most(frame: DataFrame, rows: int) -> bool:
-    """Whether a frame has no more rows than a bound; stops counting beyond it."""
-    return frame.limit(rows + 1).count() <= rows
+def _at_most(frame: DataFrame, rows: int, words: int | None = None) -> bool:
+    """Whether a frame has no more rows, and no more hashes in them, than a bound; stops reading beyond the rows."""
+    size = F.lit(1) if words is None else F.size("hashes")
+    count, total = frame.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return count <= rows and (words is None or total <= words)
 
 
 def _small(frame: DataFrame, is_small: bool) -> DataFrame:
@@ -42,13 +50,18 @@ def _small(frame: DataFrame, is_small: bool) -> DataFrame:
 
 
 def _pin(frame: DataFrame, most: int) -> tuple[DataFrame, list[dict] | None]:
-    """A frame of at most ``most`` rows as a local table, with its rows; a larger one as it is."""
+    """A frame of at most ``most`` short rows as a local table, with its rows; a larger one as it is."""
     table = frame.limit(most + 1).toArrow()
     if table.num_rows > most:
         return frame, None
     return frame.sparkSession.createDataFrame(table, frame.schema), table.to_pylist()
 
 
+def _word(hash: Column) -> Column:
+    """A requested word as a number: 64 bits of its hash, which is long enough to tell the words of requests apart."""
+    return F.xxhash64(hash)
+
+
 class RequestSet:
     """The requests to answer: ``members`` (query_id, seq_id, hashes) and ``distinct`` (seq_id, hashes).
 
@@ -62,28 +75,45 @@ class RequestSet:
         some = sequences.where(F.size("hashes") > 0)
         first = some.groupBy("hashes").agg(F.min("query_id").alias("seq_id"))
         members = some.join(first, "hashes").select("query_id", "seq_id", "hashes")
-        self.members, rows = _pin(members, MAX_PINNED)
+        rows = None
+        if _at_most(some, MAX_PINNED, MAX_PINNED_WORDS):
+            members, rows = _pin(members, MAX_PINNED)
+        few = rows is not None or _at_most(some, MAX_BROADCAST_ROWS, MAX_BROADCAST_WORDS)
+        self._set(sequences.sparkSession, members, rows, few, bins)
+
+    def _set(self, spark, members: DataFrame, rows: list[dict] | None, few: bool, number_of_bins: int) -> None:
+        self.members, self.rows, self.few, self.number_of_bins = members, rows, few, number_of_bins
         self.pinned = rows is not None
-        self.size = len(rows) if self.pinned else None
-        self.few = self.pinned or _at_most(some, MAX_BROADCAST_ROWS)
-        self.distinct = self.members.where("query_id = seq_id").select("seq_id", "hashes")
-
+        self.distinct = members.where("query_id = seq_id").select("seq_id", "hashes")
         if self.pinned:
             self.hashes = sorted({value for row in rows for value in row["hashes"]})
-            placed = [int(value, 16) % bins + 1 for value in self.hashes]
+            placed = [int(value, 16) % number_of_bins + 1 for value in self.hashes]
             self.bins = sorted(set(placed))
             self.small = len(self.hashes) <= MAX_BROADCAST_ROWS
             words = pa.table({"bin": pa.array(placed, pa.int32()), "hash": pa.array(self.hashes, pa.string())})
-            self.wanted = sequences.sparkSession.createDataFrame(words)
+            self.wanted = spark.createDataFrame(words)
         else:
             self.hashes = None
             hashes = self.distinct.select(F.explode_outer(F.array_distinct("hashes")).alias("hash")).distinct()
-            self.wanted = hashes.select(bin_of(F.col("hash"), bins).alias("bin"), "hash")
+            self.wanted = hashes.select(bin_of(F.col("hash"), number_of_bins).alias("bin"), "hash")
             # One number per bin at most.
             self.bins = sorted(row.bin for row in self.wanted.select("bin").distinct().collect())
             self.small = _at_most(self.wanted, MAX_BROADCAST_ROWS)
         self.literal = self.pinned and len(self.hashes) <= MAX_LITERALS
 
+    def part(self, of_one_word: bool) -> RequestSet | None:
+        """The requests of one word, or those of several; None where it is known that there are none."""
+        size = F.size("hashes")
+        members = self.members.where(size == 1 if of_one_word else size > 1)
+        rows = None
+        if self.pinned:
+            rows = [row for row in self.rows if (len(row["hashes"]) == 1) == of_one_word]
+            if not rows:
+                return None
+        chosen = RequestSet.__new__(RequestSet)
+        chosen._set(self.members.sparkSession, members, rows, self.few, self.number_of_bins)
+        return chosen
+
     def __call__(self, table: DataFrame) -> DataFrame:
         pruned = table.where(F.col("bin").isin(self.bins))
         if self.literal:
@@ -123,11 +153,6 @@ class RequestSet:
         members = self.members.select("query_id", "seq_id")
         return matched.join(_small(members, self.few), "seq_id").drop("seq_id")
 
-    def few_results(self, n: int) -> bool:
-        """Whether the top n of all requests are few enough to broadcast."""
-        most = MAX_RESULTS // max(n, 1)
-        return self.size <= most if self.pinned else self.few and _at_most(self.members, most)
-
 
 def _thinned(found: DataFrame, drivers: list[dict], counts: list[dict]) -> DataFrame:
     """Keep the postings of texts that hold a driver word, if that is a small and much smaller set."""
@@ -151,41 +176,54 @@ def _with_driver_mark(
     return found.withColumn("_driver", F.lit(True))
 
 
-def match_texts(index: DataFrame, chosen: RequestSet, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(seq_id, hashes, text_id, total_words, places): texts that hold all words of a request.
+def match_words(index: DataFrame, chosen: RequestSet, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(seq_id, hashes, text_id, total_words): texts that hold all words of a request.
 
-    One shuffle of the requested postings, by text; rare words thin out the others before it. Counts
-    come from ``vocabulary`` if given, else from the index. The index is read several times, so it
+    One shuffle, by text, of the requested words as numbers; positions are not read. Rare words thin out the others
+    before it. Counts come from ``vocabulary`` if given, else from the index. The index is read several times, so it
     should be a stored table.
     """
-    found = chosen(index).select("hash", "text_id", "positions", "total_words")
+    found = chosen(index).select("hash", "text_id", "total_words")
     counts, count_rows = chosen.counts(index, vocabulary)
     drivers, driver_rows = chosen.drivers(counts)
     if count_rows is not None and driver_rows is not None:
         found = _thinned(found, driver_rows, count_rows)
+    marked = _with_driver_mark(found, chosen, drivers, driver_rows)
     by_text = (
-        _with_driver_mark(found, chosen, drivers, driver_rows)
+        marked.select("text_id", "total_words", "_driver", _word(F.col("hash")).alias("word"))
         .groupBy("text_id")
         .agg(
             F.max("total_words").alias("total_words"),
-            F.collect_list(F.struct("hash", "positions")).alias("held"),
-            F.collect_set(F.when(F.col("_driver"), F.col("hash"))).alias("_drivers"),
+            F.collect_set("word").alias("words"),
+            F.collect_set(F.when(F.col("_driver"), F.col("word"))).alias("_drivers"),
         )
     )
-    held = by_text.select("text_id", "total_words", "held", F.explode("_drivers").alias("driver"))
-    requests = drivers.drop("driver_texts")
-    if chosen.few:
-        pairs = held.join(F.broadcast(requests), "driver")
-    else:
-        # Only ids travel to the requests and back; the positions stay where they are.
-        asked = held.select("text_id", "driver").join(requests, "driver").drop("driver")
-        pairs = asked.join(by_text.drop("_drivers"), "text_id")
-    has_all = F.forall(
-        F.array_distinct("hashes"),
-        lambda wanted: F.exists("held", lambda entry: entry["hash"] == wanted),
+    # The outer form keeps the optimizer from building the set of drivers twice.
+    held = by_text.select("text_id", "total_words", "words", F.explode_outer("_drivers").alias("driver"))
+    requests = drivers.select(
+        _word(F.col("driver")).alias("driver"),
+        "seq_id",
+        "hashes",
+        F.transform(F.array_distinct("hashes"), _word).alias("asked"),
+    )
+    pairs = held.join(_small(requests, chosen.few), "driver")
+    has_all = F.size(F.array_except("asked", "words")) == 0
+    return pairs.where(has_all).select("seq_id", "hashes", "text_id", "total_words")
+
+
+def match_texts(index: DataFrame, chosen: RequestSet, vocabulary: DataFrame | None = None) -> DataFrame:
+    """``match_words`` with ``places``, the positions per word of the request; only texts that match are read for them."""
+    matched = match_words(index, chosen, vocabulary)
+    postings = chosen(index).select(_word(F.col("hash")).alias("word"), "text_id", "positions")
+    ids = matched.select("text_id").distinct()
+    held = (
+        postings.join(ids, "text_id", "left_semi")
+        .groupBy("text_id")
+        .agg(F.collect_list(F.struct("word", "positions")).alias("held"))
     )
-    return pairs.where(has_all).select(
-        "seq_id", "hashes", "text_id", "total_words", places(F.col("held"), F.col("hashes")).alias("places")
+    asked = F.transform("hashes", _word)
+    return matched.join(held, "text_id").select(
+        "seq_id", "hashes", "text_id", "total_words", places(F.col("held"), asked).alias("places")
     )
 
 
@@ -208,7 +246,7 @@ def posting_lookup(index: DataFrame, sequences: DataFrame, bins: int, vocabulary
 def all_words_filter(index: DataFrame, sequences: DataFrame, bins: int, vocabulary: DataFrame | None = None) -> DataFrame:
     """(query_id, text_id, total_words): texts that hold every distinct word of a request."""
     chosen = RequestSet(sequences, bins)
-    matched = match_texts(index, chosen, vocabulary).select("seq_id", "text_id", "total_words")
+    matched = match_words(index, chosen, vocabulary).select("seq_id", "text_id", "total_words")
     return chosen.fan_out(matched).select("query_id", "text_id", "total_words")
 
 
@@ -220,8 +258,6 @@ def rank_top(hits: DataFrame, n: int, key: str = "query_id") -> DataFrame:
 
 def _hits(matched: DataFrame, mode: str) -> DataFrame:
     """(seq_id, text_id, hits, matching_words, total_words, matching_words_frequency) with at least one hit."""
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
     staged = matched.select(
         "seq_id",
         "text_id",
@@ -246,9 +282,33 @@ def _hits(matched: DataFrame, mode: str) -> DataFrame:
     )
 
 
+def _single_hits(index: DataFrame, chosen: RequestSet) -> DataFrame:
+    """Hits of requests of one word: every posting of the word is a result by itself, so no text is gathered."""
+    asked = chosen.distinct.select("seq_id", F.get("hashes", F.lit(0)).alias("hash"))
+    found = chosen(index).select("hash", "text_id", F.size("positions").cast("bigint").alias("hits"), "total_words")
+    total = F.col("total_words").cast("bigint")
+    return found.join(_small(asked, chosen.few), "hash").select(
+        "seq_id",
+        "text_id",
+        "hits",
+        F.col("hits").alias("matching_words"),
+        total.alias("total_words"),
+        frequency(F.col("hits"), total).alias("matching_words_frequency"),
+    )
+
+
 def _ranked(index: DataFrame, chosen: RequestSet, n: int, mode: str, vocabulary: DataFrame | None) -> DataFrame:
     """(query_id, rank, text_id, hits, ...): ranked texts of each request."""
-    top = rank_top(_hits(match_texts(index, chosen, vocabulary), mode), n, "seq_id")
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    single, several = chosen.part(True), chosen.part(False)
+    parts = []
+    if single is not None:
+        parts.append(_single_hits(index, single))
+    if several is not None or not parts:
+        parts.append(_hits(match_texts(index, several or chosen, vocabulary), mode))
+    # Each part is cut to its best before the shuffle by request.
+    top = reduce(DataFrame.unionByName, [rank_top(part, n, "seq_id") for part in parts])
     return chosen.fan_out(top).select("query_id", "rank", "text_id", *HIT_COLUMNS)
 
 
@@ -279,44 +339,46 @@ def search_hits(
     return _ranked(index, RequestSet(sequences, bins), n, mode, vocabulary)
 
 
-def _keyed(hits: DataFrame, text_buckets: int | None) -> tuple[DataFrame, list[str]]:
-    """Hits with the key of the text table. The filter is always true; it tells the planner that the
-    hits select partitions."""
-    if text_buckets is None:
-        return hits, ["text_id"]
-    bucket = F.pmod("text_id", F.lit(text_buckets)).cast("int")
-    return hits.where(F.col("rank") >= 1).withColumn("text_bucket", bucket), ["text_bucket", "text_id"]
+def _with_texts(hits: DataFrame, texts: DataFrame, text_buckets: int | None) -> DataFrame:
+    """Hits with the columns of their texts as a struct ``_text``, null where a text is missing.
 
-
-def missing_texts(hits: DataFrame, texts: DataFrame, text_buckets: int | None = None, small: bool = False) -> DataFrame:
+    Few hits are computed first; their buckets and ids then stand in the scan as values, so that it reads only the
+    files and row groups of those texts. Many hits are joined.
+    """
+    metadata = [name for name in texts.columns if name not in ("text_id", "text_bucket", "batch_id")]
+    pinned, rows = _pin(hits, MAX_RESULTS)
+    if rows is not None:
+        ids = sorted({row["text_id"] for row in rows})
+        if text_buckets is not None:
+            texts = texts.where(F.col("text_bucket").isin(sorted({text_id % text_buckets for text_id in ids})))
+        texts = texts.where(F.col("text_id").isin(ids))
+    stored = texts.select(F.col("text_id").alias("_id"), F.struct(*metadata).alias("_text"))
+    if rows is None:
+        return hits.join(stored, F.col("text_id") == F.col("_id"), "left").drop("_id")
+    # The hits are the small side: the texts of a broadcast stay where they are.
+    found = F.broadcast(pinned.select("text_id").distinct()).join(stored, F.col("text_id") == F.col("_id"))
+    return pinned.join(found.select("text_id", "_text"), "text_id", "left")
+
+
+def missing_texts(hits: DataFrame, texts: DataFrame, text_buckets: int | None = None) -> DataFrame:
     """(query_id, text_id) of hits without a stored text."""
-    wanted, keys = _keyed(hits, text_buckets)
-    # Only ids of the hits are compared; the ids of the text table are not shuffled.
-    present = _small(wanted, small).join(texts.select(*keys), keys).select("text_id").distinct()
-    return hits.select("query_id", "text_id").join(present, "text_id", "left_anti").select("query_id", "text_id")
+    return _with_texts(hits, texts, text_buckets).where(F.col("_text").isNull()).select("query_id", "text_id")
 
 
-def read_texts(
-    hits: DataFrame,
-    texts: DataFrame,
-    text_buckets: int | None = None,
-    require_all: bool = True,
-    small: bool = False,
-) -> DataFrame:
+def read_texts(hits: DataFrame, texts: DataFrame, text_buckets: int | None = None, require_all: bool = True) -> DataFrame:
     """Hits with their stored texts: query_id, rank, scores, text_id, metadata, text.
 
     ``text_buckets`` names the bucket count of a stored text table, so only the buckets of the hits are
-    read. ``small`` states that the hits were checked to be few enough to broadcast. With
-    ``require_all`` a request with a missing text has no result, else the rows found stay.
+    read. With ``require_all`` a request with a missing text has no result, else the rows found stay.
     """
-    wanted, keys = _keyed(hits, text_buckets)
+    found = _with_texts(hits, texts, text_buckets)
+    if require_all:
+        # A request has n results at most.
+        lacks = F.max(F.col("_text").isNull()).over(Window.partitionBy("query_id"))
+        found = found.withColumn("_lacks", lacks).where(~F.col("_lacks"))
     metadata = [name for name in texts.columns if name not in ("text_id", "text", "text_bucket", "batch_id")]
-    found = _small(wanted, small).join(texts.select(*keys, *metadata, "text"), keys)
-    result = found.select("query_id", "rank", *HIT_COLUMNS, "text_id", *metadata, "text")
-    if not require_all:
-        return result
-    lacking = missing_texts(hits, texts, text_buckets, small).select("query_id").distinct()
-    return result.join(_small(lacking, small), "query_id", "left_anti").select(*result.columns)
+    columns = [F.col("_text")[name].alias(name) for name in [*metadata, "text"]]
+    return found.where(F.col("_text").isNotNull()).select("query_id", "rank", *HIT_COLUMNS, "text_id", *columns)
 
 
 def search(
@@ -337,7 +399,7 @@ def search(
     sequences = request_sequences(requests, stopwords, normalize_stopwords, digest)
     chosen = RequestSet(sequences, bins)
     hits = _ranked(index, chosen, n, mode, vocabulary)
-    return read_texts(hits, texts, text_buckets, require_all, chosen.few_results(n))
+    return read_texts(hits, texts, text_buckets, require_all)
 
 
 def search_summary(requests: DataFrame, results: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wordloom.operators.postings import Stopwords, postings, touched_hashes, vocabulary
 from wordloom.plans.layout import Layout
@@ -23,6 +24,7 @@ def now() -> datetime:
 def append_postings(layout: Layout, new_postings: DataFrame, batch_id: str, generation_timestamp: datetime | None = None) -> None:
     """Stage the postings of a batch and log its words. Appending a batch again replaces it.
 
+    The log of a batch also keeps the words of what it replaces, so that the next format clears them from the index.
     Bins are brought together by a rebalance, which splits a bin that one frequent word has made large.
     """
     spark = new_postings.sparkSession
@@ -37,13 +39,19 @@ def append_postings(layout: Layout, new_postings: DataFrame, batch_id: str, gene
     # The log reads back two columns of what was written, so no text is split a second time.
     written = spark.read.schema(POSTING).parquet(staged)
     stamp = F.lit(generation_timestamp or now()).cast("timestamp")
+    log = f"{layout.touched}/batch_id={batch_id}"
+    words = written.select("bin", "hash")
+    try:
+        words = words.unionByName(spark.read.schema(TOUCHED_HASH).parquet(log).select("bin", "hash"))
+    except AnalysisException:
+        pass  # the first time
     (
-        touched_hashes(written, stamp)
+        touched_hashes(words, stamp)
         .hint("rebalance", "bin")
         .sortWithinPartitions("bin", "hash")
-        .write.mode("overwrite")
+        .write.mode("append")
         .partitionBy("bin")
-        .parquet(f"{layout.touched}/batch_id={batch_id}")
+        .parquet(log)
     )
 
 
@@ -85,7 +93,10 @@ def open_vocabulary(spark: SparkSession, layout: Layout) -> DataFrame:
 
 
 def open_texts(spark: SparkSession, layout: Layout) -> DataFrame:
-    return spark.read.parquet(layout.texts)
+    """The stored texts; batch ids are strings whatever they look like."""
+    found = spark.read.parquet(layout.texts).schema
+    fields = [StructField(f.name, StringType()) if f.name == "batch_id" else f for f in found]
+    return spark.read.schema(StructType(fields)).parquet(layout.texts)
 
 
 def touched_since(touched: DataFrame, since: datetime) -> DataFrame:
@@ -104,7 +115,7 @@ def format_index(spark: SparkSession, layout: Layout, since: datetime, rows_per_
 
     Rows are cut by (bin, hash, text_id): a frequent word is spread over many files, a file holds one
     stretch of hashes, and row groups outside a request are skipped by their bounds. The number of
-    stretches follows the number of rows.
+    stretches follows the number of rows. Bins that hold nothing any more are removed.
     """
     bins = sorted(row.bin for row in touched_since(open_touched(spark, layout), since).select("bin").distinct().collect())
     if not bins:
@@ -127,9 +138,27 @@ def format_index(spark: SparkSession, layout: Layout, since: datetime, rows_per_
         .partitionBy("bin")
         .parquet(layout.vocabulary)
     )
+    # An overwrite of partitions leaves those alone that get no rows.
+    held = {row.bin for row in staged.select("bin").distinct().collect()}
+    for empty in set(bins) - held:
+        for table in (layout.index, layout.vocabulary):
+            _remove_folder(spark, f"{table}/bin={empty}")
     return bins
 
 
+def _remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored_count(spark: SparkSession, layout: Layout) -> int:
+    """How many texts are stored; 0 for an empty store."""
+    try:
+        return open_texts(spark, layout).count()
+    except AnalysisException:
+        return 0
+
+
 def stored_texts(spark: SparkSession, layout: Layout, without_batch: str | None = None) -> int:
     """The highest stored text id, without one batch; 0 for an empty store."""
     try:
@@ -139,7 +168,7 @@ def stored_texts(spark: SparkSession, layout: Layout, without_batch: str | None
     if "batch_id" not in texts.columns:
         return 0
     if without_batch is not None:
-        texts = texts.where(F.col("batch_id").cast("string") != without_batch)
+        texts = texts.where(F.col("batch_id") != without_batch)
     return texts.agg(F.coalesce(F.max("text_id"), F.lit(0))).first()[0]
 
 
@@ -155,15 +184,12 @@ def index_corpus(
 
     ``batches`` maps batch ids to prepared texts. Returns the new state.
     """
-    previous, since = read_state(spark, layout.state, BEGINNING)
+    _, since = read_state(spark, layout.state, BEGINNING)
     for batch_id, texts in batches.items():
         append_batch(layout, texts, batch_id, stopwords, normalize_stopwords, digest)
+    # Taken before the log is read: what another run logs meanwhile is newer and left for the next format.
+    stamp = now()
     format_index(spark, layout, since)
-    added = (
-        open_texts(spark, layout).where(F.col("batch_id").cast("string").isin(list(batches))).count()
-        if batches
-        else 0
-    )
-    total, stamp = previous + added, now()
+    total = stored_count(spark, layout)
     write_state(spark, layout.state, total, stamp)
     return total, stamp

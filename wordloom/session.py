@@ -29,9 +29,12 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, a single machine) gets a temporary folder.
+    Only a session on one machine that names none gets a temporary folder; on a cluster that is an error, as
+    executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="run-")
     return os.path.join(base.rstrip("/"), f"wordloom-{uuid.uuid4().hex}")

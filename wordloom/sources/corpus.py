@@ -5,16 +5,21 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+
+from wordloom.session import shared_folder
+
+# Rows of a file that are numbered together, and sorted keys in a file.
+PIECE_ROWS = 1 << 17
+KEYS_PER_RANGE = 1_000_000
 
 
 def read_corpus(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """A Parquet corpus. A few unsplittable files are spread over the cores by ``key``.
 
-    A corpus that already arrives in enough pieces is not shuffled.
+    A corpus that already arrives in enough pieces is not shuffled; the rows are the same either way.
     """
     corpus = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
@@ -23,72 +28,80 @@ def read_corpus(spark: SparkSession, path: str, key: str | None = None) -> DataF
     return corpus.repartition(cores, key)
 
 
-def _range_bounds(keys: DataFrame, ranges: int) -> list[float]:
-    """Increasing bounds that cut the keys into about ``ranges`` pieces of similar size."""
-    shares = [i / ranges for i in range(1, ranges)]
-    inner = keys.approxQuantile("_key", shares, 1 / (4 * ranges)) if shares else []
-    return [-math.inf, *sorted(set(inner)), math.inf]
+def _by_place(rows: DataFrame, name: str, start: int, first: int | None, last: int | None, piece_rows: int) -> DataFrame:
+    """Consecutive numbers in the order of ``_file`` and ``_row``, the place of each row in its file.
+
+    Rows are counted in pieces of files, and each piece is numbered on its own from the count of the pieces before it.
+    Pieces without a number from ``first`` to ``last`` are left out before that.
+    """
+    cut = rows.withColumn("_piece", F.floor(F.col("_row") / F.lit(piece_rows)))
+    before = Window.orderBy("_file", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per piece meets in one task.
+    pieces = cut.groupBy("_file", "_piece").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_file", "_piece", "_rows", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) + F.lit(start - 1)).alias("_before")
+    )
+    if last is not None:
+        pieces = pieces.where(F.col("_before") < last)
+    if first is not None:
+        pieces = pieces.where(F.col("_before") + F.col("_rows") >= first)
+    inside = F.row_number().over(Window.partitionBy("_file", "_piece").orderBy("_row"))
+    numbered = cut.join(pieces, ["_file", "_piece"]).withColumn(name, (F.col("_before") + inside).cast("bigint"))
+    if first is not None:
+        numbered = numbered.where(F.col(name) >= first)
+    if last is not None:
+        numbered = numbered.where(F.col(name) <= last)
+    return numbered
+
+
+def _numbered_keys(corpus: DataFrame, key: str, ranges: int | None) -> DataFrame:
+    """The keys of a corpus, sorted in ranges, as a stored table with the place of each key."""
+    spark = corpus.sparkSession
+    ranges = ranges or max(1, math.ceil(corpus.count() / KEYS_PER_RANGE))
+    path = shared_folder(spark)
+    keys = corpus.select(key)
+    keys.repartitionByRange(ranges, key).sortWithinPartitions(key).write.parquet(path)
+    stored = spark.read.schema(keys.schema).parquet(path)
+    if stored.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).head(1):
+        raise ValueError(f"{key} is null or the same in several rows; leave the key out to number rows by their place")
+    # The parts of a written table are numbered in the order of the ranges.
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    return stored.select(key, part.alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
 def number_rows(
     corpus: DataFrame,
-    key: str,
+    key: str | None = None,
     name: str = "row_no",
     start: int = 1,
     first: int | None = None,
     last: int | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Consecutive numbers in the order of ``key`` (numeric, unique, not null).
+    """Consecutive numbers for the rows of a corpus; only ``first``..``last`` are kept if given.
 
-    The keys are cut into ranges, the ranges are counted, and each range is numbered on its own from
-    the count of the ranges before it; no task sees more than one range. Only ``first``..``last`` are
-    kept if given, and ranges outside are left out of the scan.
+    Without a key numbers follow the files and the places of rows in them; the corpus must come from files, but may
+    be filtered. With a key of any type that has an order, unique and not null, they follow the key: the keys alone
+    are sorted and numbered, compared as what they are, and joined with the corpus. A slice reads only its keys.
     """
-    spark = corpus.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = corpus.select(F.col(key).cast("double").alias("_key"))
-    bounds = _range_bounds(keys, ranges)
-    if len(bounds) == 2:
-        bounds.insert(1, 0.0)
-    cut = Bucketizer(splits=bounds, inputCol="_key", outputCol="_range")
-
-    sizes = {int(row["_range"]): row["count"] for row in cut.transform(keys).groupBy("_range").count().collect()}
-    offsets, total = [], start - 1
-    for i in range(len(bounds) - 1):
-        offsets.append(total)
-        total += sizes.get(i, 0)
-    ends = [*offsets[1:], total]
-
-    needed = corpus
+    if key is None:
+        try:
+            placed = corpus.select(
+                "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+            )
+        except AnalysisException as error:
+            raise ValueError("a corpus without a key must be read from files") from error
+        numbered = _by_place(placed, name, start, first, last, PIECE_ROWS)
+        return numbered.select(*[c for c in corpus.columns if c != name], name)
+    keys = _by_place(_numbered_keys(corpus, key, ranges), name, start, first, last, PIECE_ROWS).select(key, name)
     if first is not None or last is not None:
-        low = first if first is not None else start
-        high = last if last is not None else total
-        kept = [i for i in range(len(offsets)) if offsets[i] < high and ends[i] >= low]
-        if not kept:
+        low, high = keys.agg(F.min(key), F.max(key)).first()
+        if low is None:
             return corpus.where(F.lit(False)).withColumn(name, F.lit(0).cast("bigint"))
-        exact = isinstance(corpus.schema[key].dataType, IntegralType)
-        lower, upper = bounds[kept[0]], bounds[kept[-1] + 1]
-        if lower != -math.inf:
-            needed = needed.where(F.col(key) >= F.lit(int(lower) if exact else lower))
-        if upper != math.inf:
-            needed = needed.where(F.col(key) < F.lit(int(upper) if exact else upper))
-
-    in_range = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    numbered = (
-        cut.transform(needed.withColumn("_key", F.col(key).cast("double")))
-        .withColumn("_range", F.col("_range").cast("int"))
-        .withColumn(name, F.get(F.lit(offsets).cast("array<bigint>"), "_range") + in_range)
-        .drop("_key", "_range")
-    )
-    if first is not None:
-        numbered = numbered.where(F.col(name) >= first)
-    if last is not None:
-        numbered = numbered.where(F.col(name) <= last)
-    return numbered
+        corpus = corpus.where(F.col(key).between(F.lit(low), F.lit(high)))
+    return corpus.drop(name).join(keys, key).select(*[c for c in corpus.columns if c != name], name)
 
 
-def batch_slice(corpus: DataFrame, key: str, batch_rows: int, first: int, last: int) -> DataFrame:
+def batch_slice(corpus: DataFrame, key: str | None, batch_rows: int, first: int, last: int) -> DataFrame:
     """The rows of batches ``first``..``last`` (from 1, inclusive) with their ``batch_no``.
 
     Batches count all rows, before any filter.
@@ -100,7 +113,7 @@ def batch_slice(corpus: DataFrame, key: str, batch_rows: int, first: int, last:
 
 def prepare(
     corpus: DataFrame,
-    key: str,
+    key: str | None,
     languages: Sequence[str],
     columns: dict[str, str],
     language: str = "lang",
@@ -110,7 +123,8 @@ def prepare(
     """Rows of the chosen languages as (text_id, metadata, text).
 
     ``columns`` maps column names of the corpus to new names and must yield ``text``. Ids follow
-    ``key`` from ``start`` on and are given to kept rows only; ``keep_ids`` uses ``key`` itself.
+    ``key``, or without one the places of rows in their files, from ``start`` on and are given to kept rows only;
+    ``keep_ids`` uses ``key`` itself.
     """
     kept = corpus.where(F.col(language).isin(list(languages)))
     if keep_ids:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+ROW_GROUP_BYTES = 8 << 20
+
+
 def text_rows(texts: DataFrame, buckets: int) -> DataFrame:
     """text_id, metadata, text, text_bucket: the order in which texts are stored."""
     metadata = [name for name in texts.columns if name not in ("text_id", "text", "text_bucket", "batch_id")]
@@ -16,13 +19,15 @@ def text_rows(texts: DataFrame, buckets: int) -> DataFrame:
 def write_texts(texts: DataFrame, path: str, batch_id: str, buckets: int) -> None:
     """Store a batch of texts. Writing a batch again replaces it.
 
-    The rebalance hint lets the planner split large buckets and join small ones.
+    The rebalance hint lets the planner split large buckets and join small ones. Row groups are small and sorted by
+    id, so that a lookup of few ids reads little.
     """
     (
         text_rows(texts, buckets)
         .hint("rebalance", "text_bucket")
         .sortWithinPartitions("text_bucket", "text_id")
         .write.mode("overwrite")
+        .option("parquet.block.size", ROW_GROUP_BYTES)
         .partitionBy("text_bucket")
         .parquet(f"{path}/batch_id={batch_id}")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from wordloom.operators.postings import Stopwords
-from wordloom.plans.indexing import append_batch, format_index, now, open_texts
+from wordloom.plans.indexing import append_batch, format_index, now, stored_count
 from wordloom.plans.layout import Layout
 from wordloom.sources.state import BEGINNING, read_state, write_state
 
@@ -51,7 +51,9 @@ def index_stream(
         .start()
     )
     query.awaitTermination()
-    # Also after a run that was interrupted between its last batch and this point.
+    # Also after a run that was interrupted between its last batch and this point. The stamp is older than the log
+    # that is read, so that nothing logged meanwhile is passed over.
+    stamp = now()
     if format_index(spark, layout, since):
-        write_state(spark, layout.state, open_texts(spark, layout).count(), now())
+        write_state(spark, layout.state, stored_count(spark, layout), stamp)
     return len(done)
