@@ -78,8 +78,11 @@ def hits(documents: DataFrame, windows: DataFrame, text: str, max_bytes: int = M
     else:
         # The words of a window travel with it instead of those of the whole text.
         each = [F.when(F.col("place") >= start, own_window(F.col("place") - start, F.lit(n))) for n, start in _last_first(lengths)]
-        met = flat.withColumn("own_window", F.coalesce(F.lit(None).cast("string"), *each)).drop("words")
-        met = met.join(known, "hash", "left").where(document | (F.col("own_window") == F.col("window")))
+        cut = flat.where(~document).withColumn("own_window", F.coalesce(F.lit(None).cast("string"), *each)).drop("words")
+        met = cut.join(known, "hash").where(F.col("own_window") == F.col("window")).drop("own_window")
+        # The rows of the documents themselves have no hash and would all meet in one task of the join.
+        alone = split.select("id", "key", "n_words", F.lit(0).alias("place"), F.lit(None).cast("bigint").alias("hash"))
+        met = met.unionByName(alone, allowMissingColumns=True)
     return met.select("id", "key", "n_words", F.when(~document, at).alias("at"), "length", "window")
 
 

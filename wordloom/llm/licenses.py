@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from wordloom.llm.expressions import unused, with_results
 
 THRESHOLD = 0.8
+#: Characters up to which a passage is cut into words at once.
+SHORT = 2000
 WORD = re.compile("[A-Za-z0-9]+")
 PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
@@ -87,8 +89,10 @@ class Matcher:
         self.templates = [(name, grams) for name, grams in self.templates if grams]
         self.known = set().union(*(grams for _, grams in self.templates)) if self.templates else set()
         share = threshold / (2 - threshold)
-        self.bounds = [(len(grams) * share, len(grams) / share) for _, grams in self.templates]
+        # Rounding must not cut off a size that lies exactly on its bound.
+        self.bounds = [(len(grams) * share - 1e-9, len(grams) / share + 1e-9) for _, grams in self.templates]
         self.least = min((low for low, _ in self.bounds), default=float("inf"))
+        self.most = max((high for _, high in self.bounds), default=0)
 
     def passages(self, text: str) -> Iterator[str]:
         lines = text.split("\n")
@@ -99,14 +103,26 @@ class Matcher:
                 yield from (paragraph for paragraph in paragraphs if "\n" in paragraph)
             yield text
 
+    def grams(self, passage: str) -> set[tuple[str, str]]:
+        """The bigrams of a passage; none as soon as they are too many or too few for every template."""
+        if len(passage) <= SHORT:
+            words = WORD.findall(passage)
+            return bigrams([word.lower() for word in words]) if len(words) - 1 >= self.least else set()
+        grams, last = set(), None
+        for found in WORD.finditer(passage):
+            word = found[0].lower()
+            if last is not None:
+                grams.add((last, word))
+                if len(grams) > self.most:
+                    return set()
+            last = word
+        return grams
+
     def matches(self, text: str | None) -> dict[str, float]:
         """The best coefficient of each template that some passage reaches the threshold with."""
         best: dict[str, float] = {}
         for passage in self.passages(text or ""):
-            words = WORD.findall(passage)
-            if len(words) - 1 < self.least:
-                continue
-            grams = bigrams([word.lower() for word in words])
+            grams = self.grams(passage)
             if grams.isdisjoint(self.known):
                 continue
             for (name, template), (low, high) in zip(self.templates, self.bounds):
