@@ -27,7 +27,8 @@ def fails(line):
     end = line.rstrip(" \t\n\x0b\x0c\r")[-1:]
     noise, separators = len(re.findall(quality.NOISE, line)), len(re.findall(quality.SEPARATORS, line))
     boilerplate = len(line) <= 200 and re.search(quality.BOILERPLATE, line.lower())
-    return bool(not re.match(quality.TERMINAL, end) or separators >= 2 or noise * 100 > len(line) * 10 or boilerplate)
+    unfinished = not re.match(quality.TERMINAL, end) and not re.search(quality.SENTENCE_END, line)
+    return bool(unfinished or separators >= 2 or noise * 100 > len(line) * 10 or boilerplate)
 
 
 def test_query_equals_brute_force(spark):
@@ -41,6 +42,7 @@ def test_query_equals_brute_force(spark):
 EDGES = [
     None, "", " \n\t ", "a", "a b c d e f g h i j", "One two three four five six seven eight nine ten.",
     "a b c d e " * 30, "a " * 5000 + ".", "x.\n\nx.\n x.\nx.", "\x0ba\x0cb\rc d\n", "ein Satz über 😀 Grüße, der ganz ist und reicht. " * 2,
+    "A sentence that is whole, followed by one. And this is cut off in the", "No end in\nsight of any line\nhere. Or\n",
     "Menu | Home | About | Contact\nThe rest of this is a plain sentence of some more words.",
 ]
 

@@ -19,6 +19,8 @@ MIN_WORDS = 10
 WINDOW = 5
 MAX_REPEATED_PERCENT = 20
 
+#: The end of a sentence inside a line; a line with one is prose even if its own end is cut off.
+SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]* "
 #: Ends of a finished line.
 TERMINAL = r"[.!?…:;\"'”’»)\]。！？]"
 #: Marks that part the entries of a menu.
@@ -77,7 +79,7 @@ def line_fails(line: Column) -> Column:
     noisy = F.regexp_count(line, F.lit(NOISE)) * 100 > F.char_length(line) * MAX_NOISE_PERCENT
     menu = F.regexp_count(line, F.lit(SEPARATORS)) >= MAX_SEPARATORS
     boilerplate = (F.char_length(line) <= MAX_BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE)
-    unfinished = ~F.right(F.rtrim(line, F.lit(WHITE_SPACE)), F.lit(1)).rlike(TERMINAL)
+    unfinished = ~F.right(F.rtrim(line, F.lit(WHITE_SPACE)), F.lit(1)).rlike(TERMINAL) & ~line.rlike(SENTENCE_END)
     return unfinished | menu | noisy | boilerplate
 
 

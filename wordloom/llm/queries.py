@@ -150,7 +150,7 @@ repeated AS (SELECT rid, sum(reach)::BIGINT AS n_repeat_words FROM reach GROUP B
 lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d),
 judged AS (
     SELECT rid, l,
-        NOT regexp_matches(right(rtrim(l, {_BLANKS}), 1), {_quoted(quality.TERMINAL)})
+        NOT (regexp_matches(right(rtrim(l, {_BLANKS}), 1), {_quoted(quality.TERMINAL)}) OR regexp_matches(l, {_quoted(quality.SENTENCE_END)}))
         OR len(regexp_extract_all(l, '{quality.SEPARATORS}')) >= {quality.MAX_SEPARATORS}
         OR len(regexp_extract_all(l, '{quality.NOISE}')) * 100 > length(l) * {quality.MAX_NOISE_PERCENT}
         OR (length(l) <= {quality.MAX_BOILERPLATE_CHARS} AND regexp_matches(lower(l), '{quality.BOILERPLATE}')) AS fails,
