@@ -71,6 +71,8 @@ def test_edges(spark):
     frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, verdict string")
     got = {row.page_id: row for row in url_filter.judge_urls(frame, queries.URL_RULES).collect()}
     assert len(got) == len(rows)
+    joined = {row.page_id: row for row in url_filter.judge_urls(frame, queries.URL_RULES, max_bytes=0).collect()}
+    assert joined == got
     for page_id, url, _, _ in rows:
         row = got[page_id]
         assert (row.host, row.path) == split_url(url)

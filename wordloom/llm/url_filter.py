@@ -27,6 +27,8 @@ LABELLED_SHARE = 1e-4
 #: The share of addresses expected to be bad.
 BAD_SHARE = 0.2
 SMOOTHING = 1.0
+#: The scores of all hosts are broadcast below this many bytes.
+MAX_BROADCAST_BYTES = 32 << 20
 LETTERS = r"[a-z\x{80}-\x{10FFFF}]+"
 
 #: Labelled addresses as words, the training data of the model: of addresses to block, and of others.
@@ -38,7 +40,7 @@ BAD = (
     "win free prize", "replica watches", "weight loss miracle",
 )
 GOOD = (
-    "news", "daily news", "blog", "my blog", "science journal", "open library", "public library", "history museum",
+    "news", "daily news", "music lessons", "family history", "science journal", "open library", "public library", "history museum",
     "city council", "weather report", "school of music", "university research", "community forum", "photo gallery",
     "book review", "recipe kitchen", "travel guide", "garden notes", "software docs", "help center", "about us",
     "health clinic", "art and design", "film review", "sports club", "video lectures", "download manual", "loan calculator",
@@ -78,9 +80,10 @@ def path_words(path: Column) -> Column:
     return words_of(F.lower(path), LETTERS)
 
 
-def _labelled_words() -> dict[str, int]:
+def labelled_words(bad: Sequence[str] = BAD, good: Sequence[str] = GOOD) -> dict[str, int]:
+    """How often each word occurs in the labelled addresses."""
     counts: dict[str, int] = {}
-    for line in (*BAD, *GOOD):
+    for line in (*bad, *good):
         for word in line.split():
             counts[word] = counts.get(word, 0) + 1
     return counts
@@ -121,10 +124,9 @@ def viterbi(piece: str, counts: dict[tuple[int, int], float], total: float, long
     return words[::-1]
 
 
-def segmented(pieces: DataFrame, unigrams: DataFrame) -> DataFrame:
-    """(piece, words) of the distinct strings ``piece``, under (word, count)."""
+def segmented(pieces: DataFrame, unigrams: DataFrame, labelled: dict[str, int]) -> DataFrame:
+    """(piece, words) of the distinct strings ``piece``, under (word, count) and the labelled words."""
     total = unigrams.agg(F.coalesce(F.sum("count"), F.lit(0.0)).cast("double")).first()[0]
-    labelled = _labelled_words()
     extra = max(total * LABELLED_SHARE, 1.0)
     total += extra * sum(labelled.values())
     begin, end = F.col("begin"), F.col("begin") + F.col("length")
@@ -166,10 +168,10 @@ def log_odds(words: Column, weights: dict[str, float]) -> Column:
     )
 
 
-def host_scores(hosts: DataFrame, unigrams: DataFrame, weights: dict[str, float]) -> DataFrame:
+def host_scores(hosts: DataFrame, unigrams: DataFrame, labelled: dict[str, int], weights: dict[str, float]) -> DataFrame:
     """(host, host_words, host_score) of the distinct strings ``host``."""
     pieces = hosts.select("host", F.posexplode(host_pieces(F.col("host"))).alias("place", "piece"))
-    words = segmented(pieces.select("piece").distinct(), unigrams)
+    words = segmented(pieces.select("piece").distinct(), unigrams, labelled)
     scored = words.select("piece", "words", log_odds(F.col("words"), weights).alias("score"))
     return (
         pieces.join(scored, "piece")
@@ -196,6 +198,7 @@ def judge_urls(
     bad: Sequence[str] = BAD,
     good: Sequence[str] = GOOD,
     bad_share: float = BAD_SHARE,
+    max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """The pages with ``host``, ``path``, ``rule``, ``verdict``, ``host_words`` and ``log_odds``."""
     weights = word_weights(bad, good)
@@ -204,9 +207,13 @@ def judge_urls(
     own_host, own_path, own_words, own_score, key = names
     named = pages.withColumns({own_host: host, own_path: path})
     hosts = written(named.select(F.col(own_host).alias("host")).distinct())
-    scores = host_scores(hosts, page_words(pages, html), weights)
+    scores = written(host_scores(hosts, written(page_words(pages, html)), labelled_words(bad, good), weights))
     scores = scores.select(F.col("host").alias(key), F.col("host_words").alias(own_words), F.col("host_score").alias(own_score))
-    # Hosts may hold any share of the pages: the planner broadcasts few hosts and splits the frequent ones of many.
+    # A host may hold any share of the pages. Hosts measured to be few are broadcast, so that pages stay where they are;
+    # in a join of many the planner splits the frequent ones.
+    size = F.octet_length(key) + F.octet_length(F.array_join(own_words, " ")) + 64
+    if scores.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= max_bytes:
+        scores = F.broadcast(scores)
     joined = named.join(scores, F.col(own_host) == F.col(key), "left")
     odds = F.lit(log(bad_share / (1 - bad_share))) + F.coalesce(own_score, F.lit(0.0)) + log_odds(path_words(F.col(own_path)), weights)
     rule, told = rule_of(F.col(own_host), F.col(own_path), rules)
