@@ -93,10 +93,12 @@ def op9_mixing(spark, sf_dir):
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     first = F.round(F.get("repeats", F.lit(0))["position"], 6).alias("position")
     target = F.round("target", 6).alias("target")
+    # Documents that are not taken have no position and may be many; their ids spread them.
+    order = [F.asc_nulls_last("position"), F.asc("doc_id")]
     return (
         mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", target, "taken", first)
-        .repartitionByRange(F.asc_nulls_last("position"))
-        .sortWithinPartitions(F.asc_nulls_last("position"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
     )
 
 
