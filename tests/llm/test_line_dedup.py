@@ -89,8 +89,9 @@ def test_signatures_find_nearly_all_pairs_at_the_threshold():
         a, b = "".join(letters), "".join(other)
         if jaccard(line_dedup.shingles(a), line_dedup.shingles(b)) >= 0.8:
             tried += 1
-            keys = line_dedup.band_keys([a, b, "pad"])
-            met += bool((keys[0] == keys[1]).any())
+            keys, sketches = line_dedup.band_keys([a, b, "pad"])
+            alike = ((int(sketches[0]) ^ int(sketches[1])) & (1 << 64) - 1).bit_count()
+            met += bool((keys[0] == keys[1]).any()) and alike <= line_dedup.MAX_SKETCH_BITS
     assert tried > 100 and met / tried >= 0.98
 
 
@@ -98,5 +99,8 @@ def test_signatures_do_not_depend_on_the_batch(monkeypatch):
     lines = ["a", "abcd", "abcde", "x" * 50, "hello world of lines", "ünï", "last"]
     together = line_dedup.band_keys(lines)
     monkeypatch.setattr(line_dedup, "CHARACTERS", 1)
-    assert np.array_equal(together, line_dedup.band_keys(lines))
-    assert all(np.array_equal(line_dedup.band_keys([line])[0], key) for line, key in zip(lines, together))
+    apart = line_dedup.band_keys(lines)
+    assert all(np.array_equal(one, other) for one, other in zip(together, apart))
+    for i, line in enumerate(lines):
+        keys, sketches = line_dedup.band_keys([line])
+        assert np.array_equal(keys[0], together[0][i]) and sketches[0] == together[1][i]

@@ -1,13 +1,15 @@
 """Fuzzy line dedup: MinHash signatures of lines, banding, exact Jaccard checks and distributed union-find.
 
-Equal lines meet once, as one hashed line. Each line's character shingles give ``BANDS`` x ``ROWS`` minima; lines with
-equal minima in a band share a bucket. Equal buckets of several bands are one. Only lines that share a bucket fetch
-their text; inside a bucket a line is compared until it is linked, and pairs that are linked already are not compared
+Equal lines meet once, as one hashed line. Each line's character shingles give ``SKETCH_BITS`` minima; lines with equal
+minima in one of ``BANDS`` bands of ``ROWS`` share a bucket. The lowest bits of all minima are a sketch that travels
+along: a bucket falls into groups that are connected by sketches at most ``MAX_SKETCH_BITS`` bits apart, and lines alone
+go no further. Equal groups of several bands are one. Only lines that went on fetch their text; inside a bucket a line is compared until it is linked, and pairs that are linked already are not compared
 again, so a bucket sends at most one link per line. A bucket above ``MAX_BUCKET`` is cut into blocks, and every two
 blocks meet in a task of their own. Components come from ``components``, and of each the first line stays, by document
 id, text and line number.
 
-With 12 bands of 4 rows, two lines with a Jaccard similarity of 0.8 share a bucket with a chance of 0.998.
+With 12 bands of 4 rows, two lines with a Jaccard similarity of 0.8 share a bucket with a chance of 0.998; they differ
+in 6 of the 60 sketch bits that are not equal anyway, give or take 2.3, so 17 bits lose about one pair in a million.
 
 Defined results: lines without any word are left as they are and take no part; null and empty texts have no lines;
 lines shorter than a shingle are one shingle; equal rows are one document given twice and lose the same lines; null ids
@@ -30,6 +32,8 @@ from wordloom.llm.expressions import SPACED_WORD, column, text_key, written
 SHINGLE = 5
 BANDS = 12
 ROWS = 4
+SKETCH_BITS = 64
+MAX_SKETCH_BITS = 17
 SIMILARITY = 0.8
 MAX_BUCKET = 1000
 #: Characters that are hashed together, and lines whose hashes a task remembers to skip repeats.
@@ -54,12 +58,14 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A 64-bit key for each line and band."""
+def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key for each line and band, and a sketch of 64 bits for each line."""
     draw = np.random.default_rng(1)
-    factors = draw.integers(1 << 20, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
-    terms = draw.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
+    minima = max(bands * rows, SKETCH_BITS)
+    factors = draw.integers(1 << 20, 1 << 32, minima, dtype=np.uint32) | np.uint32(1)
+    terms = draw.integers(0, 1 << 32, minima, dtype=np.uint32)
     keys = np.empty((len(lines), bands), dtype=np.int64)
+    sketches = np.zeros(len(lines), dtype=np.uint64)
     begin = 0
     while begin < len(lines):
         end, size = begin, 0
@@ -81,15 +87,22 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndar
             inside[ends - i] = False
         hashed = hashed[inside[: len(hashed)]]
         starts = np.concatenate([[0], np.cumsum(sizes - (SHINGLE - 1))[:-1]])
-        for band in range(bands):
-            key = np.full(len(some), 0x9E3779B97F4A7C15 * (band + 1) & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-            for row in range(band * rows, (band + 1) * rows):
-                least = np.minimum.reduceat(hashed * factors[row] + terms[row], starts)
+        key = None
+        for row in range(minima):
+            least = np.minimum.reduceat(hashed * factors[row] + terms[row], starts)
+            if row < SKETCH_BITS:
+                bit = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+                sketches[begin:end] |= bit.astype(np.uint64) << np.uint64(row)
+            band, place = divmod(row, rows)
+            if band < bands:
+                if place == 0:
+                    key = np.full(len(some), 0x9E3779B97F4A7C15 * (band + 1) & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
                 key = (key ^ least) * np.uint64(0xFF51AFD7ED558CCD)
                 key ^= key >> np.uint64(32)
-            keys[begin:end, band] = key.view(np.int64)
+                if place == rows - 1:
+                    keys[begin:end, band] = key.view(np.int64)
         begin = end
-    return keys
+    return keys, sketches.view(np.int64)
 
 
 def _signatures(bands: int, rows: int):
@@ -102,30 +115,70 @@ def _signatures(bands: int, rows: int):
             if len(known) > REMEMBERED:
                 known.clear()
             known.update(ids[new].tolist())
-            keys = band_keys(batch.column(1).take(pa.array(new, pa.int64())).to_pylist(), bands, rows)
+            keys, sketches = band_keys(batch.column(1).take(pa.array(new, pa.int64())).to_pylist(), bands, rows)
             flat = pa.array(keys.ravel())
             offsets = pa.array(np.arange(0, len(new) * bands + 1, bands, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.ListArray.from_arrays(offsets, flat)], ["line_id", "keys"])
+            columns = [pa.array(ids[new]), pa.array(sketches), pa.ListArray.from_arrays(offsets, flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["line_id", "sketch", "keys"])
 
     return signatures
 
 
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    return mixed * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _sketch_groups(starts: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, max_bucket: int) -> np.ndarray:
+    """The number of each line's group in its bucket, -1 for lines alone. Groups are connected by like sketches; a bucket
+    above ``max_bucket`` is one group."""
+    group = np.repeat(np.where(sizes > max_bucket, 0, -1), sizes)
+    pairs = starts[sizes == 2]
+    alike = pairs[np.bitwise_count((sketches[pairs] ^ sketches[pairs + 1]).view(np.uint64)) <= MAX_SKETCH_BITS]
+    group[alike] = group[alike + 1] = 0
+    for at in np.flatnonzero((sizes > 2) & (sizes <= max_bucket)):
+        own = sketches[starts[at] : starts[at] + sizes[at]]
+        close = np.bitwise_count((own[:, None] ^ own[None, :]).view(np.uint64)) <= MAX_SKETCH_BITS
+        free, number = close.sum(axis=1) > 1, 0
+        while free.any():
+            front = np.zeros(len(own), dtype=bool)
+            front[np.argmax(free)] = True
+            inside = front
+            while front.any():
+                front = close[front].any(axis=0) & free & ~inside
+                inside = inside | front
+            group[starts[at] : starts[at] + sizes[at]][inside] = number
+            free, number = free & ~inside, number + 1
+    return group
+
+
+def _bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of each run of equal keys."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+    return starts, np.diff(np.append(starts, len(keys)))
+
+
 def _shared(max_bucket: int):
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(bucket, block, line_id) of sorted (band_key, line_id) rows; a bucket is named by what it holds."""
+        """(bucket, block, line_id) of sorted (band_key, line_id, sketch) rows; a bucket, or a group of one, is named by what it holds."""
 
-        def of(keys: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        def of(keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> pd.DataFrame:
             fresh = np.ones(len(keys), dtype=bool)
             fresh[1:] = (np.diff(keys) != 0) | (np.diff(ids) != 0)
-            keys, ids = keys[fresh], ids[fresh]
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1]) if len(keys) else np.zeros(0, dtype=int)
-            sizes = np.diff(np.append(starts, len(keys)))
-            mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            keys, ids, sketches = keys[fresh], ids[fresh], sketches[fresh]
+            group = _sketch_groups(*_bounds(keys), sketches, max_bucket)
+            order = np.lexsort((ids, group, keys))
+            order = order[group[order] >= 0]
+            keys, group, ids = keys[order], group[order], ids[order]
+            new = np.ones(len(keys), dtype=bool)
+            new[1:] = (np.diff(keys) != 0) | (np.diff(group) != 0)
+            starts, sizes = _bounds(np.cumsum(new))
+            mixed = _mixed(ids)
             names = np.repeat(np.add.reduceat(mixed, starts) if len(starts) else mixed, sizes).view(np.int64)
-            size = np.repeat(sizes, sizes)
-            small = (size > 1) & (size <= max_bucket)
+            small = np.repeat(sizes, sizes) <= max_bucket
             out = [pd.DataFrame({"bucket": names[small], "block": 0, "line_id": ids[small]})]
             for at in np.flatnonzero(sizes > max_bucket):
                 inside = slice(starts[at], starts[at] + sizes[at])
@@ -136,15 +189,15 @@ def _shared(max_bucket: int):
                     out.append(pd.DataFrame({"bucket": names[inside], "block": block, "line_id": ids[inside]}))
             return pd.concat(out).astype({"block": "int64"})
 
-        keys, ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        held = [np.zeros(0, dtype=np.int64)] * 3
         for batch in batches:
-            keys = np.concatenate([keys, batch["band_key"].to_numpy()])
-            ids = np.concatenate([ids, batch["line_id"].to_numpy()])
-            if len(keys):  # the last bucket may go on in the next batch
-                last = np.searchsorted(keys, keys[-1])
-                yield of(keys[:last], ids[:last])
-                keys, ids = keys[last:], ids[last:]
-        yield of(keys, ids)
+            new = (batch[name].to_numpy() for name in ("band_key", "line_id", "sketch"))
+            held = [np.concatenate(pair) for pair in zip(held, new)]
+            if len(held[0]):  # the last bucket may go on in the next batch
+                last = np.searchsorted(held[0], held[0][-1])
+                yield of(*(column[:last] for column in held))
+                held = [column[last:] for column in held]
+        yield of(*held)
 
     return shared
 
@@ -192,8 +245,8 @@ def line_links(
     lines: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, max_bucket: int = MAX_BUCKET
 ) -> DataFrame:
     """(left, right): enough links between different lines to connect all that are similar."""
-    signed = lines.select("line_id", "line").mapInArrow(_signatures(bands, rows), "line_id bigint, keys array<bigint>")
-    keyed = signed.select(F.explode("keys").alias("band_key"), "line_id").repartition("band_key")
+    signed = lines.select("line_id", "line").mapInArrow(_signatures(bands, rows), "line_id bigint, sketch bigint, keys array<bigint>")
+    keyed = signed.select(F.explode("keys").alias("band_key"), "line_id", "sketch").repartition("band_key")
     shared = keyed.sortWithinPartitions("band_key", "line_id").mapInPandas(
         _shared(max_bucket), "bucket bigint, block bigint, line_id bigint"
     )
