@@ -80,3 +80,33 @@ def test_edges(spark):
     assert got[6].verdict == "block" and got[6].host_words == ["cheap", "pills"] and got[0].verdict == "allow"
     assert got[7].host_words == ["daily", "news"] and got[7].verdict == "allow"
     assert url_filter.judge_urls(frame.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_model_learns_from_a_table_and_meets_hosts_kept_out(spark):
+    """Words that no list in the module has, on hosts that the labelled table lacks."""
+    bad_words, good_words = ("zorblat", "quimfex"), ("harbour", "lantern")
+    told = [(f"http://{w}-{i}{x}.example.net/a", True) for w in bad_words for i, x in enumerate("kvw")]
+    told += [(f"http://{w}-{i}{x}.example.net/a", False) for w in good_words for i, x in enumerate("kvw")]
+    seeds = {word for line in (*url_filter.BAD, *url_filter.GOOD) for word in line.split()}
+    assert not seeds & {*bad_words, *good_words}
+    labelled = spark.createDataFrame(told, "url string, bad boolean")
+    html = "<p>zorblat quimfex harbour lantern</p>"
+    rows = [(1, "http://zorblat-quimfex.example.net/b", html), (2, "http://lantern.example.net/b", html), (3, "http://zorblatquimfex.com/", html)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, (), labelled=labelled).collect()}
+    assert [got[i].verdict for i in (1, 2, 3)] == ["block", "allow", "block"] and got[3].host_words == ["zorblat", "quimfex"]
+    assert {r.verdict for r in url_filter.judge_urls(pages, ()).collect()} == {"allow"}
+
+
+def test_pages_that_rules_decide_are_learned_without_the_rules_own_words(spark):
+    rows = [(i, f"http://zorblat-{x}.example.org/es/qq", "<p>zorblat</p>") for i, x in enumerate("kvwz")]
+    rows += [(10, "http://zorblat.example.net/qq", ""), (11, "http://other.example.net/es/", "")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, [("block", "example.org/es/")]).collect()}
+    assert got[10].rule is None and got[10].verdict == "block" and got[11].verdict == "allow"
+
+
+def test_no_bad_host_of_the_pages_is_in_the_seed_list(spark):
+    hosts = {split_url(r.url)[0] for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").select("url").collect()}
+    labels = {label.replace("-", " ") for host in hosts for label in host.split(".") if "-" in label}
+    assert labels and not labels & set(url_filter.BAD)

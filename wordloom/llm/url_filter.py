@@ -4,6 +4,10 @@ Words of hosts: the labels of all hosts (without the top-level one) are cut at h
 piece is split by Viterbi into the most likely sequence of words, under unigram counts of the words in all pages and
 in the labelled addresses. Only parts of pieces meet those counts, in a join, so no dictionary has to fit a task.
 Verdicts: the longest fitting rule decides, and where none fits the sign of the multinomial naive Bayes log odds.
+The model counts the words of a table of labelled addresses, by default those of the pages that a rule decides, and of a
+seed list. A word counts once per labelled host and verdict, so pages of one host weigh no more than one; words that a rule
+is written in only repeat the rule and are not learned from the pages that it decides. Weights are whole numbers of
+10^-9, so sums do not depend on the order of the rows.
 
 Defined results: a null address or one without ``://`` has empty host and path, no rule and no words, so the prior
 decides (allow); words that no labelled address has weigh nothing; equal rows have equal results; other columns, and
@@ -27,15 +31,17 @@ LABELLED_SHARE = 1e-4
 #: The share of addresses expected to be bad.
 BAD_SHARE = 0.2
 SMOOTHING = 1.0
-#: The scores of all hosts are broadcast below this many bytes.
+#: Weights and scores are sums of whole numbers of this size.
+UNIT = 1e-9
+#: The scores of all hosts, and of all paths, are broadcast below this many bytes.
 MAX_BROADCAST_BYTES = 32 << 20
 LETTERS = r"[a-z\x{80}-\x{10FFFF}]+"
 
-#: Labelled addresses as words, the training data of the model: of addresses to block, and of others.
+#: The seed list: phrases of addresses to block, and of others. None is a host name of the pages.
 BAD = (
-    "cheap pills", "buy pills online", "online pharmacy", "discount meds", "casino win", "casino bonus", "poker jackpot",
-    "free slots", "free bets", "sports betting", "bet win cash", "adult x", "adult video", "hot sex cams", "porn tube",
-    "xxx movies", "escort dating", "spam farm", "link farm", "click farm", "ads track", "ad tracker", "track pixel click",
+    "cheap meds", "buy pills online", "online pharmacy", "discount meds", "casino bonus", "poker jackpot",
+    "free slots", "sports betting", "bet win cash", "adult video", "hot sex cams", "porn tube",
+    "xxx movies", "escort dating", "link farm", "click farm", "ad tracker", "track pixel click",
     "banner ads", "popup ads", "malware download", "free download crack", "keygen warez", "payday loan", "fast cash loan",
     "win free prize", "replica watches", "weight loss miracle",
 )
@@ -89,17 +95,42 @@ def labelled_words(bad: Sequence[str] = BAD, good: Sequence[str] = GOOD) -> dict
     return counts
 
 
-def word_weights(bad: Sequence[str] = BAD, good: Sequence[str] = GOOD) -> dict[str, float]:
-    """The log odds each known word adds, by multinomial naive Bayes."""
+def rule_labelled(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url") -> DataFrame:
+    """(url, bad, named) of the pages that a rule decides; ``named`` are the words the rule is written in."""
+    rule, told = rule_of(*parts(F.col(url)), rules)
+    found = pages.select(F.col(url).alias("url"), (told == "block").alias("bad"), rule.alias("rule")).where(F.col("rule").isNotNull())
+    return found.select("url", "bad", path_words(F.col("rule")).alias("named"))
+
+
+def seed_counts(bad: Sequence[str] = BAD, good: Sequence[str] = GOOD) -> list[tuple[str, int, int]]:
+    """(word, n_bad, n_good) of the seed list."""
     counts: dict[str, list[int]] = {}
     for side, lines in enumerate((bad, good)):
         for line in lines:
             for word in line.split():
                 counts.setdefault(word, [0, 0])[side] += 1
-    totals = [sum(pair[side] for pair in counts.values()) + SMOOTHING * len(counts) for side in (0, 1)]
-    return {
-        word: log((pair[0] + SMOOTHING) / totals[0]) - log((pair[1] + SMOOTHING) / totals[1]) for word, pair in counts.items()
-    }
+    return [(word, *pair) for word, pair in sorted(counts.items())]
+
+
+def word_weights(labelled: DataFrame, host_words: DataFrame, seeds: list[tuple[str, int, int]]) -> DataFrame:
+    """(word, weight): the log odds each known word adds, by multinomial naive Bayes, in whole ``UNIT``.
+
+    ``labelled`` has (host, path, bad, named), ``host_words`` (host, host_words) of all its hosts.
+    """
+    split = host_words.select(F.col("host").alias("of_host"), "host_words")
+    hosts = labelled.select("host", "bad", "named").distinct().join(split, F.col("host") == F.col("of_host"))
+    in_hosts = hosts.select("host", "bad", F.explode(F.array_except("host_words", "named")).alias("word"))
+    in_paths = labelled.select("host", "bad", F.explode(F.array_except(path_words(F.col("path")), F.col("named"))).alias("word"))
+    seen = in_hosts.unionByName(in_paths).distinct()
+    told = seen.groupBy("word").agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good"))
+    if seeds:
+        told = told.unionByName(labelled.sparkSession.createDataFrame(seeds, "word string, n_bad bigint, n_good bigint"))
+    counts = written(told.groupBy("word").agg(F.sum("n_bad").alias("n_bad"), F.sum("n_good").alias("n_good")))
+    sums = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bad"), F.lit(0)), F.coalesce(F.sum("n_good"), F.lit(0))).first()
+    words, n_bad, n_good = (float(x) for x in sums)
+    shift = log((n_good + SMOOTHING * words) / (n_bad + SMOOTHING * words)) if words else 0.0
+    odds = F.log((F.col("n_bad") + SMOOTHING) / (F.col("n_good") + SMOOTHING)) + F.lit(shift)
+    return written(counts.select("word", F.round(odds / UNIT).cast("bigint").alias("weight")))
 
 
 def viterbi(piece: str, counts: dict[tuple[int, int], float], total: float, longest: int = LONGEST_WORD) -> list[str]:
@@ -160,27 +191,24 @@ def segmented(pieces: DataFrame, unigrams: DataFrame, labelled: dict[str, int])
     return gathered.select("piece", split("piece", "found").alias("words"))
 
 
-def log_odds(words: Column, weights: dict[str, float]) -> Column:
-    """The sum of the words' weights; the model's words are a fixed list, so they stand in the plan."""
-    known = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair])
-    return F.aggregate(
-        words, F.lit(0.0), lambda so_far, word: so_far + F.coalesce(F.try_element_at(known, word), F.lit(0.0))
-    )
-
-
-def host_scores(hosts: DataFrame, unigrams: DataFrame, labelled: dict[str, int], weights: dict[str, float]) -> DataFrame:
-    """(host, host_words, host_score) of the distinct strings ``host``."""
+def split_hosts(hosts: DataFrame, unigrams: DataFrame, labelled: dict[str, int]) -> DataFrame:
+    """(host, host_words) of the distinct strings ``host``; hosts without a piece are left out."""
     pieces = hosts.select("host", F.posexplode(host_pieces(F.col("host"))).alias("place", "piece"))
     words = segmented(pieces.select("piece").distinct(), unigrams, labelled)
-    scored = words.select("piece", "words", log_odds(F.col("words"), weights).alias("score"))
-    return (
-        pieces.join(scored, "piece")
-        .groupBy("host")
-        .agg(
-            F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "words"))), lambda one: one["words"])).alias("host_words"),
-            F.sum("score").alias("host_score"),
-        )
-    )
+    gathered = pieces.join(words, "piece").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("split"))
+    return gathered.select("host", F.flatten(F.transform("split", lambda one: one["words"])).alias("host_words"))
+
+
+def summed(keyed: DataFrame, weights: DataFrame) -> DataFrame:
+    """(key, score) of (key, words): the sum of the words' weights, for keys with a known word."""
+    opened = keyed.select("key", F.explode("words").alias("word")).groupBy("key", "word").count()
+    return opened.join(weights, "word").groupBy("key").agg(F.sum(F.col("count") * F.col("weight")).alias("score"))
+
+
+def _few(frame: DataFrame, size: Column, max_bytes: int) -> DataFrame:
+    """To be broadcast if it is measured to be small; in a join of many rows the planner splits the frequent ones."""
+    few = frame.agg(F.coalesce(F.sum(size + 64), F.lit(0))).first()[0] <= max_bytes
+    return F.broadcast(frame) if few else frame
 
 
 def page_words(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -199,23 +227,39 @@ def judge_urls(
     good: Sequence[str] = GOOD,
     bad_share: float = BAD_SHARE,
     max_bytes: int = MAX_BROADCAST_BYTES,
+    labelled: DataFrame | None = None,
 ) -> DataFrame:
-    """The pages with ``host``, ``path``, ``rule``, ``verdict``, ``host_words`` and ``log_odds``."""
-    weights = word_weights(bad, good)
+    """The pages with ``host``, ``path``, ``rule``, ``verdict``, ``host_words`` and ``log_odds``.
+
+    ``labelled`` has (url, bad) and, if wanted, ``named``, words not to be learned from the address. Without it the pages
+    that a rule decides are the labelled addresses. ``bad`` and ``good`` are phrases that are counted besides.
+    """
+    if labelled is None:
+        labelled = rule_labelled(pages, rules, url)
+    host, path = parts(F.col("url"))
+    named_words = F.col("named") if "named" in labelled.columns else F.array().cast("array<string>")
+    labelled = labelled.select(host.alias("host"), path.alias("path"), "bad", named_words.alias("named")).where(F.col("bad").isNotNull())
+    labelled = written(labelled.distinct())
     host, path = parts(F.col(url))
-    names = [unused(pages, name) for name in ("_host", "_path", "_words", "_score", "_key")]
-    own_host, own_path, own_words, own_score, key = names
+    names = [unused(pages, name) for name in ("_host", "_path", "_words", "_score", "_key", "_of_path", "_path_score")]
+    own_host, own_path, own_words, own_score, key, of_path, path_score = names
     named = pages.withColumns({own_host: host, own_path: path})
-    hosts = written(named.select(F.col(own_host).alias("host")).distinct())
-    scores = written(host_scores(hosts, written(page_words(pages, html)), labelled_words(bad, good), weights))
-    scores = scores.select(F.col("host").alias(key), F.col("host_words").alias(own_words), F.col("host_score").alias(own_score))
-    # A host may hold any share of the pages. Hosts measured to be few are broadcast, so that pages stay where they are;
-    # in a join of many the planner splits the frequent ones.
-    size = F.octet_length(key) + F.octet_length(F.array_join(own_words, " ")) + 64
-    if scores.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= max_bytes:
-        scores = F.broadcast(scores)
-    joined = named.join(scores, F.col(own_host) == F.col(key), "left")
-    odds = F.lit(log(bad_share / (1 - bad_share))) + F.coalesce(own_score, F.lit(0.0)) + log_odds(path_words(F.col(own_path)), weights)
+    hosts = written(named.select(F.col(own_host).alias("host")).unionByName(labelled.select("host")).distinct())
+    seeds = seed_counts(bad, good)
+    split = written(split_hosts(hosts, written(page_words(pages, html)), labelled_words(bad, good)))
+    weights = word_weights(labelled, split, seeds)
+    host_scores = summed(split.select(F.col("host").alias("key"), F.col("host_words").alias("words")), weights)
+    scores = written(split.join(host_scores.withColumnRenamed("key", "scored"), F.col("host") == F.col("scored"), "left").drop("scored"))
+    scores = scores.select(F.col("host").alias(key), F.col("host_words").alias(own_words), F.col("score").alias(own_score))
+    paths = named.select(F.col(own_path).alias("key")).where("key <> ''").distinct()
+    path_scores = written(summed(paths.select("key", path_words(F.col("key")).alias("words")), weights))
+    path_scores = path_scores.select(F.col("key").alias(of_path), F.col("score").alias(path_score))
+    # A host may hold any share of the pages, so pages stay where they are if there are few hosts.
+    scores = _few(scores, F.octet_length(key) + F.octet_length(F.array_join(own_words, " ")), max_bytes)
+    path_scores = _few(path_scores, F.octet_length(of_path), max_bytes)
+    joined = named.join(scores, F.col(own_host) == F.col(key), "left").join(path_scores, F.col(own_path) == F.col(of_path), "left")
+    added = F.coalesce(own_score, F.lit(0)) + F.coalesce(path_score, F.lit(0))
+    odds = F.lit(log(bad_share / (1 - bad_share))) + added * F.lit(UNIT)
     rule, told = rule_of(F.col(own_host), F.col(own_path), rules)
     verdict = F.coalesce(told, F.when(odds > 0, F.lit("block")).otherwise(F.lit("allow")))
     results = with_results(
