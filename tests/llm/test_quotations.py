@@ -122,3 +122,20 @@ def test_query_keeps_every_message_in_reply_order(spark):
     assert digest(result, rows) == brute(rows)
     order = [(row.root_conv, row.root_turn, row.depth, row.turn) for row in result.collect()]
     assert order == sorted(order)
+
+
+def test_rewrapped_quote_of_several_paragraphs(spark):
+    one, two, three = (" ".join(f"{name}{i}" for i in range(30)) for name in ("alpha", "beta", "gamma"))
+
+    def wrapped(paragraphs, width):
+        lines = [[p[i : i + width] for i in range(0, len(p), width)] for p in (p.split() for p in paragraphs)]
+        return "\n".join("\n".join("> " + " ".join(line) for line in p) + "\n>" for p in lines)
+
+    original = "\n\n".join("\n".join(" ".join(p.split()[i : i + 10]) for i in range(0, 30, 10)) for p in (one, two, three))
+    rows = [
+        (0, 0, "z", "yes"), (1, 0, "a", original), (1, 1, "b", wrapped([one, three], 7) + "\nI agree."),
+        (1, 2, "c", wrapped(["words nobody wrote", two], 7) + "\nSo do I."), (1, 3, "d", wrapped(["yes", two], 7) + "\nMe too."),
+    ]
+    got = quotations.linked_conversations(spark.createDataFrame(rows, SCHEMA)).collect()
+    replies = {row.role: (row.n_quotes, row.n_linked, row.reply_conv, row.reply_turn) for row in got}
+    assert replies["b"] == replies["c"] == replies["d"] == (1, 1, 1, 0)

@@ -1,8 +1,9 @@
 """Quotation linking: quoted passages of messages are found in the messages they come from.
 
 Lines that begin with ``>`` marks are quotes of that many levels; lines of one level in a row are a passage. A passage
-is normalised and hashed as a whole and line by line, and joined with the hashes of whole messages, paragraphs and
-lines. The whole counts before its lines, longer lines before shorter ones; the first message of the same conversation
+is normalised and hashed as a whole, by paragraph (cut at empty quoted lines) and line by line, and joined with the
+hashes of whole messages, paragraphs and lines. The whole counts before its paragraphs, these before its lines, longer
+ones before shorter ones; the first message of the same conversation
 that holds it counts before the first of all. A message only quotes earlier ones, by conversation and turn, so replies
 form trees: a message answers the source of its least nested quote. Roots and depths come from joins that double the
 distance in each round, each written to the shared folder.
@@ -104,11 +105,13 @@ def quote_links(rows: DataFrame) -> DataFrame:
 
     quoted = rows.where(F.exists("lines", lambda line: line["level"] > 0))
     opened = quoted.select("conv", "turn", "key", "message", F.posexplode(passages(F.col("lines"))).alias("passage_no", "passage"))
-    by_length = F.array_sort(
-        F.col("passage.contents"),
-        lambda a, b: (F.char_length(b) - F.char_length(a)).cast("int"),
-    )
-    wanted = _hashes(F.concat(F.array(F.array_join("passage.contents", "\n")), by_length))
+
+    def by_length(units: Column) -> Column:
+        return F.array_sort(units, lambda a, b: (F.char_length(b) - F.char_length(a)).cast("int"))
+
+    whole = F.array_join("passage.contents", "\n")
+    # A quote that a mail client wrapped anew has paragraphs of the original, but none of its lines.
+    wanted = _hashes(F.concat(F.array(whole), by_length(F.split(whole, r"\n[ \t]*\n", -1)), by_length(F.col("passage.contents"))))
     sought = opened.select(
         "conv", "turn", "key", "message", "passage_no", F.col("passage.level").alias("level"),
         F.posexplode_outer(wanted).alias("rank", "hash"),
