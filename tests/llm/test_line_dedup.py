@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from wordloom.llm import line_dedup, queries
@@ -104,3 +105,18 @@ def test_signatures_do_not_depend_on_the_batch(monkeypatch):
     for i, line in enumerate(lines):
         keys, sketches = line_dedup.band_keys([line])
         assert np.array_equal(keys[0], together[0][i]) and sketches[0] == together[1][i]
+
+
+def test_crowded_buckets_are_passed_on_and_cut_in_spark(spark):
+    """The task of a crowded bucket makes one row per line, in every batch, and every two lines meet in a block."""
+    n, most = 3000, 100
+    frame = pd.DataFrame({"band_key": [7] * n + [8] * 2, "line_id": [*range(n), 1, 2], "sketch": 0})
+    out = list(line_dedup._shared(most)(frame[i : i + 250] for i in range(0, n + 2, 250)))
+    assert max(map(len, out)) <= 250 + most and sum(map(len, out)) == n + 2
+    keyed = spark.range(n).selectExpr("explode(array(7L, 9L)) AS band_key", "id AS line_id", "0L AS sketch")
+    blocks = {}
+    for row in line_dedup.bucket_members(keyed.unionByName(keyed.limit(5)), most).collect():
+        blocks.setdefault((row.bucket, row.block), set()).add(row.line_id)
+    assert len({bucket for bucket, _ in blocks}) == 1 and max(map(len, blocks.values())) <= 4 * most
+    met = {frozenset((a, b)) for lines in blocks.values() for a in lines if a < 40 for b in lines if a < b < 40}
+    assert len(met) == 40 * 39 // 2

@@ -4,8 +4,8 @@ Equal lines meet once, as one hashed line. Each line's character shingles give `
 minima in one of ``BANDS`` bands of ``ROWS`` share a bucket. The lowest bits of all minima are a sketch that travels
 along: a bucket falls into groups that are connected by sketches at most ``MAX_SKETCH_BITS`` bits apart, and lines alone
 go no further. Equal groups of several bands are one. Only lines that went on fetch their text; inside a bucket a line is compared until it is linked, and pairs that are linked already are not compared
-again, so a bucket sends at most one link per line. A bucket above ``MAX_BUCKET`` is cut into blocks, and every two
-blocks meet in a task of their own. Components come from ``components``, and of each the first line stays, by document
+again, so a bucket sends at most one link per line. The rows of a bucket above ``MAX_BUCKET`` pass through its task
+without being held; they are counted, cut into blocks by a join, and every two blocks meet in a group of their own. Components come from ``components``, and of each the first line stays, by document
 id, text and line number.
 
 With 12 bands of 4 rows, two lines with a Jaccard similarity of 0.8 share a bucket with a chance of 0.998; they differ
@@ -130,14 +130,13 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return mixed * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _sketch_groups(starts: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, max_bucket: int) -> np.ndarray:
-    """The number of each line's group in its bucket, -1 for lines alone. Groups are connected by like sketches; a bucket
-    above ``max_bucket`` is one group."""
-    group = np.repeat(np.where(sizes > max_bucket, 0, -1), sizes)
+def _sketch_groups(starts: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """The number of each line's group in its bucket, -1 for lines alone. Groups are connected by like sketches."""
+    group = np.full(len(sketches), -1)
     pairs = starts[sizes == 2]
     alike = pairs[np.bitwise_count((sketches[pairs] ^ sketches[pairs + 1]).view(np.uint64)) <= MAX_SKETCH_BITS]
     group[alike] = group[alike + 1] = 0
-    for at in np.flatnonzero((sizes > 2) & (sizes <= max_bucket)):
+    for at in np.flatnonzero(sizes > 2):
         own = sketches[starts[at] : starts[at] + sizes[at]]
         close = np.bitwise_count((own[:, None] ^ own[None, :]).view(np.uint64)) <= MAX_SKETCH_BITS
         free, number = close.sum(axis=1) > 1, 0
@@ -161,15 +160,26 @@ def _bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(keys)))
 
 
+#: The block of lines whose bucket is yet to be cut into blocks.
+CROWDED = -1
+
+
 def _shared(max_bucket: int):
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(bucket, block, line_id) of sorted (band_key, line_id, sketch) rows; a bucket, or a group of one, is named by what it holds."""
+        """(bucket, block, line_id) of sorted (band_key, line_id, sketch) rows; a group of a bucket is named by what it holds.
+
+        Lines of a bucket above ``max_bucket`` come as ``CROWDED``; no more than such a bucket and a batch is held.
+        """
+
+        def passed(keys: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"bucket": keys, "block": np.full(len(ids), CROWDED), "line_id": ids})
 
         def of(keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> pd.DataFrame:
-            fresh = np.ones(len(keys), dtype=bool)
-            fresh[1:] = (np.diff(keys) != 0) | (np.diff(ids) != 0)
-            keys, ids, sketches = keys[fresh], ids[fresh], sketches[fresh]
-            group = _sketch_groups(*_bounds(keys), sketches, max_bucket)
+            sizes = _bounds(keys)[1]
+            small = np.repeat(sizes, sizes) <= max_bucket
+            crowded = passed(keys[~small], ids[~small])
+            keys, ids, sketches = keys[small], ids[small], sketches[small]
+            group = _sketch_groups(*_bounds(keys), sketches)
             order = np.lexsort((ids, group, keys))
             order = order[group[order] >= 0]
             keys, group, ids = keys[order], group[order], ids[order]
@@ -178,23 +188,25 @@ def _shared(max_bucket: int):
             starts, sizes = _bounds(np.cumsum(new))
             mixed = _mixed(ids)
             names = np.repeat(np.add.reduceat(mixed, starts) if len(starts) else mixed, sizes).view(np.int64)
-            small = np.repeat(sizes, sizes) <= max_bucket
-            out = [pd.DataFrame({"bucket": names[small], "block": 0, "line_id": ids[small]})]
-            for at in np.flatnonzero(sizes > max_bucket):
-                inside = slice(starts[at], starts[at] + sizes[at])
-                blocks = int(-(-sizes[at] // max_bucket))
-                own = (mixed[inside] % np.uint64(blocks)).astype(np.int64)
-                for other in range(blocks):
-                    block = np.minimum(own, other) * blocks + np.maximum(own, other)
-                    out.append(pd.DataFrame({"bucket": names[inside], "block": block, "line_id": ids[inside]}))
-            return pd.concat(out).astype({"block": "int64"})
+            return pd.concat([crowded, pd.DataFrame({"bucket": names, "block": np.zeros(len(ids), dtype=np.int64), "line_id": ids})])
 
         held = [np.zeros(0, dtype=np.int64)] * 3
+        passing = None
         for batch in batches:
-            new = (batch[name].to_numpy() for name in ("band_key", "line_id", "sketch"))
+            new = [batch[name].to_numpy() for name in ("band_key", "line_id", "sketch")]
+            if passing is not None:
+                goes_on = int(np.searchsorted(new[0], passing, side="right"))
+                yield passed(new[0][:goes_on], new[1][:goes_on])
+                new = [column[goes_on:] for column in new]
+                passing = passing if not len(new[0]) else None
             held = [np.concatenate(pair) for pair in zip(held, new)]
+            fresh = np.ones(len(held[0]), dtype=bool)
+            fresh[1:] = (np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)
+            held = [column[fresh] for column in held]
             if len(held[0]):  # the last bucket may go on in the next batch
                 last = np.searchsorted(held[0], held[0][-1])
+                if len(held[0]) - last > max_bucket:
+                    passing, last = held[0][-1], len(held[0])
                 yield of(*(column[:last] for column in held))
                 held = [column[last:] for column in held]
         yield of(*held)
@@ -202,6 +214,30 @@ def _shared(max_bucket: int):
     return shared
 
 
+def bucket_members(keyed: DataFrame, max_bucket: int) -> DataFrame:
+    """(bucket, block, line_id) of (band_key, line_id, sketch): small buckets by like sketches, larger ones in blocks."""
+    dealt = keyed.repartition("band_key").sortWithinPartitions("band_key", "line_id")
+    members = written(dealt.mapInPandas(_shared(max_bucket), "bucket bigint, block bigint, line_id bigint").distinct())
+    crowded = members.where(F.col("block") == CROWDED)
+    if not crowded.head(1):
+        return members
+    # Buckets of the same lines in several bands get one name. Others may get it too: then they are compared together.
+    hashes = [F.xxhash64("line_id"), F.xxhash64("line_id", F.lit(1))]
+    ends = [end(one) for one in hashes for end in (F.min, F.max)]
+    counted = crowded.groupBy(F.col("bucket").alias("of_bucket")).agg(
+        F.ceil(F.count(F.lit(1)) / max_bucket).cast("bigint").alias("blocks"), F.xxhash64(*ends).alias("name")
+    )
+    own = F.pmod(F.xxhash64("line_id"), F.col("blocks"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    inside = crowded.join(written(counted), F.col("bucket") == F.col("of_bucket")).select("name", "blocks", "line_id").distinct()
+    cut = (
+        inside.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        .select(F.col("name").alias("bucket"), (low * F.col("blocks") + high).alias("block"), "line_id")
+    )
+    return members.where(F.col("block") != CROWDED).unionByName(cut)
+
+
 def linked(lines: dict[int, str], similarity: float) -> list[tuple[int, int]]:
     """(line, root) of each line of a bucket that is connected to a smaller one, by exact Jaccard similarity."""
     sets = {line_id: shingles(line) for line_id, line in lines.items()}
@@ -246,11 +282,8 @@ def line_links(
 ) -> DataFrame:
     """(left, right): enough links between different lines to connect all that are similar."""
     signed = lines.select("line_id", "line").mapInArrow(_signatures(bands, rows), "line_id bigint, sketch bigint, keys array<bigint>")
-    keyed = signed.select(F.explode("keys").alias("band_key"), "line_id", "sketch").repartition("band_key")
-    shared = keyed.sortWithinPartitions("band_key", "line_id").mapInPandas(
-        _shared(max_bucket), "bucket bigint, block bigint, line_id bigint"
-    )
-    members = written(shared.distinct())
+    keyed = signed.select(F.explode("keys").alias("band_key"), "line_id", "sketch")
+    members = bucket_members(keyed, max_bucket)
     wanted = members.select(F.col("line_id").alias("wanted")).distinct()
     # One text per line: repeats of a line go before they are moved.
     texts = lines.select("line_id", "line").join(wanted, F.col("line_id") == F.col("wanted"), "left_semi")
