@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from wordloom.llm import (
     licenses,
     line_dedup,
     mixing,
+    packing,
     quality,
     quotations,
     sharding,
@@ -107,6 +109,12 @@ def op10_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("host_words", " ").alias("host_words"), "log_odds")
 
 
+def op11_best_fit_packing(spark, sf_dir):
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack(packing.tokenized(_table(spark, sf_dir, "documents"), tokenizer))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -119,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_mixing": op9_mixing,
         "op10_url_filter": op10_url_filter,
+        "op11_best_fit_packing": op11_best_fit_packing,
     }
 
 
