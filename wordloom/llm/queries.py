@@ -14,13 +14,16 @@ from wordloom.llm import (
     line_dedup,
     mixing,
     packing,
+    periodic_runs,
     quality,
     quotations,
+    repair,
     sharding,
     simhash,
     toxicity,
     url_filter,
 )
+from wordloom.llm.expressions import let, words_of
 
 URL_RULES = (
     ("allow", "org/"),
@@ -115,6 +118,81 @@ def op11_best_fit_packing(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut short, repeated or given another role, by a checksum of each row's key."""
+
+    def filled(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    harm = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    text = F.when(F.col("harm") == 1, F.lit("")).when(F.col("harm") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("harm") == 0, 0).when(F.col("harm") == 3, 2).otherwise(1)
+    rows = conversations.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), harm.alias("harm"))
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("harm") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"),
+        text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"),
+    ).drop("copy")
+
+
+def op12_conversation_repair(spark, sf_dir):
+    conversations = _table(spark, sf_dir, "conversations")
+    repaired = repair.repair(damaged(conversations))
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    every = conversations.select("conv_id").distinct().select(key.alias("key"), "conv_id")
+    found = every.join(repaired.summary.drop("conv_id"), "key", "left").join(repair.digests(repaired.pieces), "key", "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        "conv_id",
+        *[F.coalesce(name, F.lit(0).cast("bigint")).alias(name) for name in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by a checksum of the id, the last words repeat with one period."""
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def planted(words):
+        n, g = F.size(words), F.col("g")
+        a = F.when(n > 0, g % n).otherwise(0)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        repeated = F.transform(words, lambda word, i: F.when(i < a, word).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+        return F.array_join(repeated, " ")
+
+    rows = documents.select("doc_id", "text", mark.alias("mark"), F.floor(mark / 10).alias("g"))
+    text = F.when(F.col("mark") % 10 == 0, let(words_of(F.col("text")), planted)).otherwise(F.col("text"))
+    return rows.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic_runs.periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents")))
+
+    def better(best, run):
+        ahead = run["length"] * best["period"] > best["length"] * run["period"]
+        return F.when(best["start"].isNull() | ahead, run).otherwise(best)
+
+    no_run = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    none = F.struct(*[no_run[name].alias(name) for name in ("start", "length", "period")])
+    # Runs come by start, then period, so the first of equal exponents stays.
+    best = F.aggregate("runs", none, better)
+    said = F.transform("runs", lambda run: F.concat_ws(",", *[run[name].cast("string") for name in ("start", "length", "period")]))
+    lines = F.concat(F.array_join(said, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -128,6 +206,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_url_filter": op10_url_filter,
         "op11_best_fit_packing": op11_best_fit_packing,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
