@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -13,7 +14,7 @@ from wordloom.llm.queries import queries
 
 SF_DIR = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", "a <|endoftext|> b", "É é İstanbul ΣΑΣ  x y it's 'S 12 ½ 日本", " \x0b\x1c\x85 q", "́a é ́", "a b"]
+ODD = ["It's (O'Neil's) x.'s 'll--'ve a,́b A,B;c.d İ K Å \x85z-\x1cy\x0b\x0cw", "", "a <|endoftext|> b", "É é İstanbul ΣΑΣ  x y it's 'S 12 ½ 日本", " \x0b\x1c\x85 q", "́a é ́", "a b"]
 
 
 def fewest(items, capacity):
@@ -79,10 +80,12 @@ def test_large_counts_meet_the_lower_bound():
 
 def test_tokens_by_word_equal_tokens_of_whole_texts(spark):
     model = Tokenizer.from_file(WORDS)
-    texts = [row.text for row in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text").collect()] + ODD
+    draw = random.Random(2)
+    noise = ["".join(draw.choices("aZ'.,-s1 \u0301éİ\u00a0tS", k=30)) for _ in range(2000)]
+    texts = [row.text for row in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text").collect()] + ODD + noise
     want = [encoded.ids for encoded in model.encode_batch(texts, add_special_tokens=False)]
     for words in (True, False):
-        assert [ids.tolist() for ids in packing.token_ids(texts, model.to_str(), words)] == want
+        assert [ids.tolist() for ids in packing.token_ids(pa.array(texts), model.to_str(), words)] == want
 
 
 def check(rows, texts, capacity):

@@ -12,9 +12,9 @@ The answer is a list of fillings with the number of sequences of each. Pieces of
 in the written table, counted in blocks first, and numbers are looked up among the fillings; nothing meets by length
 in one task, also if a third of all pieces have one length.
 
-Tokens: words between ASCII blanks are independent for the tokenizers this module takes (``words=True``), so each task
-encodes the distinct words of a batch once. ``words=False`` encodes whole texts, for tokenizers whose tokens span blanks.
-Texts that name a special token are always encoded whole.
+Tokens: a tokenizer that drops white space, lowers capitals and parts letters from punctuation reads a text word by word
+(``words=True``), so each task encodes a distinct word once. ``words=False`` encodes whole texts, for all other
+tokenizers. Texts that name a special token are always encoded whole.
 
 Defined results: a null text is an empty one, an empty text is its end token; equal rows are pieces of their own; other
 columns are left out; names of the documents' columns may be any; an empty table gives no rows.
@@ -23,12 +23,14 @@ columns are left out; names of the documents' columns may be any; an empty table
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -44,70 +46,100 @@ FILLING_STEPS = 300
 #: Rows of a file that are numbered together.
 BLOCK_ROWS = 1 << 16
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 200_000
-BATCH_CHARACTERS = 1 << 22
+REMEMBERED = 500_000
+BATCH_BYTES = 1 << 23
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
 
 # --- tokens -----------------------------------------------------------------------------------
 
-_loaded: dict[int, tuple[Tokenizer, dict[bytes, np.ndarray]]] = {}
+# ASCII punctuation but the apostrophe, which begins tokens like 's.
+_PUNCTUATION = r"!-&(-/:-@\[-`{-~"
 
 
-def _load(model: str) -> tuple[Tokenizer, dict[bytes, np.ndarray]]:
-    """The tokenizer and the remembered words of this Python worker."""
+class _Words:
+    """A tokenizer and the ids of the words it has met, all in one array."""
+
+    def __init__(self, model: str):
+        self.tokenizer = Tokenizer.from_str(model)
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.begins, self.flat = [0], array("I")
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word; new ones are encoded."""
+        new = [word for word in words if word not in self.number]
+        if len(self.number) + len(new) > REMEMBERED:
+            self.clear()
+            new = words
+        for word, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.number[word] = len(self.number)
+            self.flat.extend(encoded.ids)
+            self.begins.append(len(self.flat))
+        return np.fromiter((self.number[word] for word in words), np.int64, len(words))
+
+
+_loaded: dict[int, _Words] = {}
+
+
+def _load(model: str) -> _Words:
+    """The words of this Python worker."""
     key = zlib.crc32(model.encode())
     if key not in _loaded:
-        _loaded[key] = (Tokenizer.from_str(model), {})
+        _loaded[key] = _Words(model)
     return _loaded[key]
 
 
-def _ids_by_word(texts: list[str], tokenizer: Tokenizer, known: dict[bytes, np.ndarray]) -> list[np.ndarray]:
-    """Token ids of each text, from the ids of its distinct words."""
-    split = [text.encode("utf-8", "surrogatepass").split() for text in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    if not sizes.sum():
-        return [np.zeros(0, np.uint32) for _ in texts]
-    encoded = pa.array([word for words in split for word in words], pa.binary()).dictionary_encode()
-    distinct, places = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
-    new = [word for word in distinct if word not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = distinct
-    for word, tokens in zip(new, tokenizer.encode_batch_fast([word.decode() for word in new], add_special_tokens=False)):
-        known[word] = np.array(tokens.ids, np.uint32)
-    ids = [known[word] for word in distinct]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat, begins = np.concatenate(ids), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    of_word = lengths[places]
-    ends = np.cumsum(of_word)
-    tokens = flat[np.repeat(begins[places] - (ends - of_word), of_word) + np.arange(ends[-1])]
-    cuts = np.concatenate([[0], ends])[np.cumsum(sizes)]
+def _ids_by_word(texts: pa.Array, known: _Words) -> list[np.ndarray]:
+    """Token ids of each text, from the ids of its distinct words.
+
+    ASCII capitals are lowered and ASCII letters cut off from punctuation first, as the tokenizer does itself, so that
+    there are fewer distinct words.
+    """
+    lowered = pc.ascii_lower(texts)
+    cut = pc.replace_substring_regex(lowered, f"([a-z])([{_PUNCTUATION}])", r"\1 \2")
+    cut = pc.replace_substring_regex(cut, f"([{_PUNCTUATION}])([a-z])", r"\1 \2")
+    split = pc.ascii_split_whitespace(cut)
+    encoded = split.flatten().dictionary_encode()
+    numbers = known.numbers(encoded.dictionary.to_pylist())
+    places = numbers[encoded.indices.to_numpy()] if len(encoded) else np.zeros(0, np.int64)
+    begins, flat = np.array(known.begins, np.int64), np.array(known.flat, np.uint32)
+    sizes = begins[places + 1] - begins[places]
+    ends = np.cumsum(sizes)
+    tokens = flat[np.repeat(begins[places] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    cuts = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy())]
     return np.split(tokens, cuts[:-1])
 
 
-def token_ids(texts: list[str], model: str, words: bool = True) -> list[np.ndarray]:
+def token_ids(texts: pa.Array, model: str, words: bool = True) -> list[np.ndarray]:
     """Token ids of each text without special tokens of the tokenizer's own."""
-    tokenizer, known = _load(model)
-    special = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
-    whole = [i for i, text in enumerate(texts) if not words or any(name in text for name in special)]
-    found = _ids_by_word(texts, tokenizer, known) if words else [None] * len(texts)
-    for i, tokens in zip(whole, tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
-        found[i] = np.array(tokens.ids, np.uint32)
+    known = _load(model)
+    if not len(texts):
+        return []
+    whole = np.ones(len(texts), bool)
+    found: list = [None] * len(texts)
+    if words:
+        whole[:] = False
+        for name in known.special:
+            whole |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        found = _ids_by_word(pc.if_else(pa.array(whole), "", texts), known)
+    for i in np.flatnonzero(whole).tolist():
+        found[i] = np.array(known.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
     return found
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Stretches of texts with about ``BATCH_CHARACTERS`` characters."""
-    begin = held = 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= BATCH_CHARACTERS:
-            yield begin, i + 1
-            begin, held = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of texts with about ``BATCH_BYTES`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    begin = 0
+    while begin < len(texts):
+        stop = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + BATCH_BYTES)) + 1
+        yield begin, min(stop, len(texts))
+        begin = stop
 
 
 def tokenized(
@@ -132,10 +164,10 @@ def tokenized(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for begin, stop in _groups(texts):
                 rows, pieces, starts, lengths, checks, kept = [], [], [], [], [], []
-                for i, ids in enumerate(token_ids(texts[begin:stop], model, words), begin):
+                for i, ids in enumerate(token_ids(texts.slice(begin, stop - begin), model, words), begin):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     for start in range(0, len(ids), capacity):
                         piece = ids[start : start + capacity]
