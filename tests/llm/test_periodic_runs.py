@@ -74,8 +74,11 @@ def test_tiles_and_fragments_equal_brute_force(seed):
     words = periodic(draw, "abc" if seed % 2 else "abcdefghijklmnop", draw.choice([0, 23, 24, 60, 300, 700]))
     ids = np.array([ord(word) for word in words], np.int32)
     pieces = set()
-    for low, first, size in periodic_runs.tiles(ids):
-        pieces |= {(q, first + b, first + e) for q, b, e in periodic_runs.fragments(ids[first : first + size], low)}
+    cut = periodic_runs.tiles(ids)
+    for low in {low for low, _, _ in cut}:
+        held = [(first, size) for octave, first, size in cut if octave == low]
+        together = periodic_runs.fragments([ids[first : first + size] for first, size in held], low)
+        pieces |= {(q, held[t][0] + b, held[t][0] + e) for t, q, b, e in together}
     merged = []
     for q, b, e in sorted(pieces):
         if merged and merged[-1][0] == q and b <= merged[-1][2] - q:

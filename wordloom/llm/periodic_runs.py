@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,9 @@ FIRST_GRAM = 16
 #: Pairs of places that are compared at a time in a tile.
 PAIRS = 1 << 14
 ROWS_PER_BATCH = 256
+#: Words of tiles that are solved in one go, and tiles of a task.
+TOGETHER = 1 << 15
+TASK_TILES = 5_000
 
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x6A09E667F3BCC908 * (i + 1) & (1 << 64) - 1 | 1) for i in range(40)]
 
@@ -92,7 +96,7 @@ def _reach(ids: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray
     end = len(ids)
     padded = np.append(ids, -1)  # behind the last word nothing is equal
     reach = np.zeros(len(first), np.int64)
-    alive, step = np.arange(len(first)), 8
+    alive, step = np.arange(len(first)), 1
     while len(alive):
         ahead = reach[alive, None] + np.arange(step)
         left = padded[np.minimum(first[alive, None] + ahead, end)]
@@ -101,7 +105,7 @@ def _reach(ids: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray
         whole = equal.all(axis=1)
         reach[alive] += np.where(whole, step, equal.argmin(axis=1))
         alive = alive[whole]
-        step = min(2 * step, max(8, PAIRS // max(1, len(alive))))
+        step = min(max(8, 2 * step), max(8, PAIRS // max(1, len(alive))))
     return reach
 
 
@@ -119,29 +123,37 @@ def _has_smaller_period(stretch: np.ndarray, period: int) -> bool:
     return False
 
 
-def fragments(ids: np.ndarray, low: int) -> set[tuple[int, int, int]]:
-    """(period, begin, end) of the fragments of a tile with periods of the octave that begins at ``low``."""
+def fragments(tiles: list[np.ndarray], low: int) -> set[tuple[int, int, int, int]]:
+    """(tile, period, begin, end) of the fragments in some tiles, with periods of the octave that begins at ``low``.
+
+    Tiles lie one after the other with a number between them that nothing equals, so that no comparison leaves its tile.
+    """
     high = 7 if low == 1 else 2 * low - 1
     step = FIRST_GRAM if low == 1 else 2 * low
-    found: set[tuple[int, int, int]] = set()
+    found: set[tuple[int, int, int, int]] = set()
+    sizes = np.array([len(tile) for tile in tiles])
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+    ids = np.concatenate([part for i, tile in enumerate(tiles) for part in (tile, [-2 - i])]).astype(np.int64)
     backwards = ids[::-1]
-    periods = np.arange(low, min(high, len(ids) // REPEATS) + 1)
-    if not len(periods):
-        return found
-    boundaries = np.arange(0, len(ids), step)
+    periods = np.arange(low, high + 1)
+    number = np.repeat(np.arange(len(tiles)), -(-sizes // step))
+    first = np.cumsum(-(-sizes // step)) - -(-sizes // step)
+    boundaries = starts[number] + (np.arange(len(number)) - first[number]) * step
     together = max(1, PAIRS // len(periods))
     for i in range(0, len(boundaries), together):
         begin, period = (part.ravel() for part in np.meshgrid(boundaries[i : i + together], periods, indexing="ij"))
-        inside = begin + period <= len(ids)
-        begin, period = begin[inside], period[inside]
+        tile = np.repeat(number[i : i + together], len(periods))
+        inside = begin + period <= starts[tile] + sizes[tile]
+        begin, period, tile = begin[inside], period[inside], tile[inside]
         ahead = _reach(ids, begin, begin + period)
         # Backwards the later place comes first.
         behind = _reach(backwards, len(ids) - begin - period, len(ids) - begin)
-        length = behind + period + ahead
-        enough = length >= np.maximum(LEAST, REPEATS * period)
-        for q, b, e in zip(period[enough].tolist(), (begin - behind)[enough].tolist(), (begin + period + ahead)[enough].tolist()):
-            if (q, b, e) not in found and not _has_smaller_period(ids[b:e], q):
-                found.add((q, b, e))
+        enough = np.flatnonzero(behind + period + ahead >= np.maximum(LEAST, REPEATS * period))
+        ends = begin[enough] + period[enough] + ahead[enough]
+        for t, q, b, e in zip(tile[enough].tolist(), period[enough].tolist(), (begin - behind)[enough].tolist(), ends.tolist()):
+            entry = (t, q, b - int(starts[t]), e - int(starts[t]))
+            if entry not in found and not _has_smaller_period(ids[b:e], q):
+                found.add(entry)
     return found
 
 
@@ -185,10 +197,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("place", pa.int64()), ("period", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
     for batch in batches:
-        rows = []
+        rows: list[tuple[int, int, int, int]] = []
+        held: dict[int, list[tuple[int, int, np.ndarray]]] = {}  # tiles of an octave that are solved together
+        words: dict[int, int] = {}
+
+        def settle(low: int) -> None:
+            tiles = held.pop(low)
+            words.pop(low)
+            for t, q, b, e in fragments([ids for _, _, ids in tiles], low):
+                place, first, _ = tiles[t]
+                rows.append((place, q, first + b, first + e))
+
+        ids, ends = batch.column("ids").flatten().to_numpy(), np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy())
         for i, (place, low, first) in enumerate(zip(*(batch.column(name).to_pylist() for name in ("place", "low", "first")))):
-            ids = batch.column("ids")[i].values.to_numpy(zero_copy_only=False)
-            rows += [(place, q, first + b, first + e) for q, b, e in fragments(ids, low)]
+            tile = ids[ends[i - 1] if i else 0 : ends[i]]
+            held.setdefault(low, []).append((place, first, tile))
+            words[low] = words.get(low, 0) + len(tile)
+            if words[low] >= TOGETHER:
+                settle(low)
+        for low in list(held):
+            settle(low)
         columns = list(zip(*rows)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()) for values in columns], schema=schema)
 
@@ -239,7 +267,10 @@ def periodic_runs(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     cut = written(narrow.mapInArrow(_cut, schema))
     opened = cut.where("tiles IS NOT NULL").select("place", "ids", F.explode("tiles").alias("tile"))
     tile = opened.select("place", "tile.low", "tile.first", F.slice("ids", F.col("tile.first") + 1, F.col("tile.words")).alias("ids"))
-    pieces = tile.repartition("place", "low", "first").mapInArrow(_solve, "place bigint, period bigint, begin bigint, end bigint")
+    # Tiles are small to move and take time to solve, so their number tells the tasks, not their bytes.
+    number = cut.agg(F.coalesce(F.sum(F.greatest(F.size("tiles"), F.lit(0))), F.lit(0))).first()[0]
+    tasks = max(number // TASK_TILES, documents.sparkSession.sparkContext.defaultParallelism)
+    pieces = tile.repartition(int(tasks), "place", "low", "first").mapInArrow(_solve, "place bigint, period bigint, begin bigint, end bigint")
     run = F.struct(F.col("begin").alias("start"), (F.col("end") - F.col("begin")).alias("length"), "period")
     order = F.sort_array(F.collect_list(F.struct(F.col("begin").alias("start"), "period", run.alias("run"))))
     runs = stitched(pieces).groupBy("place").agg(F.transform(order, lambda entry: entry["run"]).alias("runs"))
