@@ -50,7 +50,8 @@ PHRASES = [
     "für",
 ]
 FIRST_PHRASE_ID = 1_000_000_000
-MISSING_SOURCE = "src3"
+# Some results of the phrases come from here.
+MISSING_SOURCE = "src10"
 
 
 # --- inputs -----------------------------------------------------------------------------------
@@ -255,6 +256,55 @@ def stream_index(spark, sf_dir):
     return _flat(indexing.open_index(spark, layout))
 
 
+def _in_runs(spark: SparkSession, sf_dir: str, runs: int) -> Layout:
+    """A library built in several runs: one of most texts, then small ones of a few texts each."""
+    layout = Layout(shared_folder(spark), BINS, TEXT_BUCKETS)
+    texts = _texts(spark, sf_dir)
+    indexing.index_corpus(spark, layout, {"base": texts.where(f"text_id % 50 >= {runs}")}, STOPWORD_LIST)
+    for run in range(runs):
+        indexing.index_corpus(spark, layout, {str(run): texts.where(f"text_id % 50 = {run}")}, STOPWORD_LIST)
+    return layout
+
+
+def index_generations(spark, sf_dir):
+    """Two small generations beside the base, read as one index, with the batch of each posting."""
+    return _flat(indexing.open_staging(spark, _in_runs(spark, sf_dir, 2)), "batch_id")
+
+
+def vocabulary_generations(spark, sf_dir):
+    """The counts of several generations, added up when they are read."""
+    counted = indexing.open_vocabulary(spark, _in_runs(spark, sf_dir, 2))
+    return counted.withColumn("bin", F.col("bin").cast("bigint"))
+
+
+def index_merge(spark, sf_dir):
+    """Four small runs, so that their generations have become one."""
+    return _flat(indexing.open_index(spark, _in_runs(spark, sf_dir, 4)))
+
+
+def text_store_compaction(spark, sf_dir):
+    """Texts of four small runs in one generation, and one batch that was replaced and waits for a format."""
+    layout = _in_runs(spark, sf_dir, 4)
+    indexing.append_batch(layout, _texts(spark, sf_dir).where("text_id % 100 = 0"), "0", STOPWORD_LIST)
+    stored = indexing.open_texts(spark, layout)
+    return stored.withColumn("text_bucket", F.col("text_bucket").cast("bigint"))
+
+
+def search_generations(spark, sf_dir):
+    """The flagship query on an index of several generations."""
+    layout = _in_runs(spark, sf_dir, 2)
+    found = find.search(
+        indexing.open_index(spark, layout),
+        indexing.open_texts(spark, layout),
+        _requests(spark, sf_dir),
+        BINS,
+        stopwords=STOPWORD_LIST,
+        vocabulary=indexing.open_vocabulary(spark, layout),
+        text_buckets=TEXT_BUCKETS,
+    )
+    return _scores(found)
+
+
 # --- search -----------------------------------------------------------------------------------
 
 
@@ -317,6 +367,17 @@ def search(spark, sf_dir):
     )
 
 
+def search_many_requests(spark, sf_dir):
+    """One request per text, its first words: more results than are held on the driver."""
+    index, known, texts = _open(spark, sf_dir)
+    first_words = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
+    asked = texts.select(F.col("text_id").alias("query_id"), first_words.alias("request"))
+    found = find.search(
+        index, texts, asked, BINS, 20, "exact", STOPWORD_LIST, vocabulary=known, text_buckets=TEXT_BUCKETS, require_all=True
+    )
+    return _scores(found).select("query_id", "rank", "text_id", *find.HIT_COLUMNS, "source", F.md5("text").alias("text_md5"))
+
+
 def search_blake2b(spark, sf_dir):
     """The flagship query with the other digest."""
     texts = _texts(spark, sf_dir)
@@ -360,6 +421,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "touched_hashes": touched_hashes,
         "index_format": index_format,
         "index_replace": index_replace,
+        "index_generations": index_generations,
+        "vocabulary_generations": vocabulary_generations,
+        "index_merge": index_merge,
+        "text_store_compaction": text_store_compaction,
         "stream_index": stream_index,
         "request_hash": request_hash,
         "posting_lookup": posting_lookup,
@@ -369,6 +434,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "phrase_search": phrase_search,
         "ranked_topk": ranked_topk,
         "search": search,
+        "search_generations": search_generations,
+        "search_many_requests": search_many_requests,
         "search_blake2b": search_blake2b,
         "search_summary": search_summary,
     }
@@ -418,13 +485,17 @@ postings AS MATERIALIZED (
 )"""
 
 
-def _sql_requests() -> str:
-    """requests(query_id, request), sequences(query_id, seq), asked(query_id, ord, word, alias, n, k)"""
+def _sql_listed_requests() -> str:
     phrases = ", ".join(f"({FIRST_PHRASE_ID + i}::BIGINT, '{phrase}')" for i, phrase in enumerate(PHRASES))
     return f"""
-requests AS (
     SELECT item_id AS query_id, text AS request FROM benchmark
-    UNION ALL SELECT * FROM (VALUES {phrases}) AS p(query_id, request)
+    UNION ALL SELECT * FROM (VALUES {phrases}) AS p(query_id, request)"""
+
+
+def _sql_requests(listed: str | None = None) -> str:
+    """requests(query_id, request), sequences(query_id, seq), asked(query_id, ord, word, alias, n, k)"""
+    return f"""
+requests AS ({listed or _sql_listed_requests()}
 ),
 sequences AS (SELECT query_id, {_sql_words("request")} AS seq FROM requests),
 numbered AS (
@@ -439,16 +510,16 @@ aliased AS (
 asked AS (SELECT query_id, ord, word, alias, n, k FROM numbered JOIN aliased USING (query_id, word))"""
 
 
-def _sql_matches() -> str:
+def _sql_matches(listed: str | None = None) -> str:
     """all_words(query_id, text_id, total_words)"""
-    return f"""{_sql_postings()},{_sql_requests()},
+    return f"""{_sql_postings()},{_sql_requests(listed)},
 all_words AS (
     SELECT query_id, text_id, any_value(total_words) AS total_words
     FROM aliased JOIN postings USING (word) GROUP BY query_id, text_id HAVING count(*) = any_value(k)
 )"""
 
 
-def _sql_hits(mode: str) -> str:
+def _sql_hits(mode: str, listed: str | None = None) -> str:
     """ranked(query_id, text_id, hits, matching_words, total_words, matching_words_frequency, n, rank)"""
     if mode == "run":
         counted = """
@@ -478,7 +549,7 @@ starts AS (
     GROUP BY query_id, text_id, position - ord HAVING count(*) = any_value(n)
 ),
 counted AS (SELECT query_id, text_id, any_value(n) AS n, count(*) AS hits FROM starts GROUP BY query_id, text_id)"""
-    return f"""{_sql_matches()},{counted},
+    return f"""{_sql_matches(listed)},{counted},
 scored AS (
     SELECT query_id, text_id, hits, hits * n AS matching_words, total_words, n,
            round(hits * n / total_words, 5) AS matching_words_frequency
@@ -548,16 +619,31 @@ def oracle_sql() -> dict[str, str]:
         "index_replace": f"""
             WITH {_sql_postings()}
             SELECT {postings_columns} FROM postings JOIN documents ON doc_id = text_id WHERE lang <> 'en'""",
+        "index_generations": f"""
+            WITH {_sql_postings()}
+            SELECT {postings_columns}, CASE WHEN text_id % 50 < 2 THEN (text_id % 50)::VARCHAR ELSE 'base' END AS batch_id FROM postings""",
+        "vocabulary_generations": f"""
+            WITH {_sql_postings()}
+            SELECT bin, hash, count(*) AS texts, sum(occurrences)::BIGINT AS occurrences FROM postings GROUP BY bin, hash""",
+        "index_merge": f"WITH {_sql_postings()} SELECT {postings_columns} FROM postings",
+        "text_store_compaction": f"""
+            SELECT doc_id AS text_id, lang, source, n_chars, text, doc_id % {TEXT_BUCKETS} AS text_bucket,
+                   CASE WHEN doc_id % 50 < 4 THEN (doc_id % 50)::VARCHAR ELSE 'base' END AS batch_id
+            FROM documents WHERE doc_id % 100 <> 50""",
         "stream_index": f"WITH {_sql_postings()} SELECT {postings_columns} FROM postings",
         "request_hash": f"WITH {_sql_requests()} SELECT query_id, ord, sha256(word) AS hash, alias, n, k FROM asked",
         "posting_lookup": f"""
-            WITH {_sql_postings()},{_sql_requests()},
+            WITH {_sql_tokens()},{_sql_requests()},
+            found AS MATERIALIZED (
+                SELECT word, text_id, string_agg(position::VARCHAR, ',' ORDER BY position) AS positions, any_value(total_words) AS total_words
+                FROM tokens WHERE word IN (SELECT word FROM aliased) GROUP BY word, text_id
+            ),
             gate AS (
-                SELECT query_id FROM aliased WHERE word IN (SELECT word FROM postings)
+                SELECT query_id FROM aliased WHERE word IN (SELECT word FROM found)
                 GROUP BY query_id HAVING count(*) = any_value(k)
             )
             SELECT query_id, alias, text_id, positions, total_words
-            FROM gate JOIN aliased USING (query_id) JOIN postings USING (word)""",
+            FROM gate JOIN aliased USING (query_id) JOIN found USING (word)""",
         "all_words_filter": f"WITH {_sql_matches()} SELECT query_id, text_id, total_words FROM all_words",
         "single_word_search": f"WITH {_sql_hits('run')} SELECT {scores} FROM ranked WHERE n = 1 AND rank <= 10",
         "multi_word_search": f"WITH {_sql_hits('run')} SELECT {scores} FROM ranked WHERE n > 1 AND rank <= 10",
@@ -566,6 +652,12 @@ def oracle_sql() -> dict[str, str]:
         "search": f"""
             WITH {_sql_hits("run")}
             SELECT {scores}, lang, source, n_chars, text FROM ranked JOIN documents ON doc_id = text_id WHERE rank <= 10""",
+        "search_generations": f"""
+            WITH {_sql_hits("run")}
+            SELECT {scores}, lang, source, n_chars, text FROM ranked JOIN documents ON doc_id = text_id WHERE rank <= 10""",
+        "search_many_requests": f"""
+            WITH {_sql_hits("exact", "SELECT doc_id AS query_id, array_to_string(string_split(text, ' ')[1:2], ' ') AS request FROM documents")}
+            SELECT {scores}, source, md5(text) AS text_md5 FROM ranked JOIN documents ON doc_id = text_id WHERE rank <= 20""",
         "search_blake2b": f"""
             WITH {_sql_hits("run")}
             SELECT {scores}, lang, source, n_chars, text FROM ranked JOIN documents ON doc_id = text_id WHERE rank <= 10""",

@@ -215,7 +215,9 @@ def scans(frame):
             stack += [children.apply(i) for i in range(children.size())]
     for leaf in leaves:
         metric = leaf.metrics()
-        folder = leaf.relation().location().rootPaths().head().getName()
+        root = leaf.relation().location().rootPaths().head()
+        # A generation lies below its table.
+        folder = (root.getParent() if root.getName().startswith("_generation=") else root).getName()
         number = lambda key: metric.apply(key).value() if metric.contains(key) else None  # noqa: E731, B023
         read[folder] = (number("numPartitions"), number("numFiles"))
     assert plan

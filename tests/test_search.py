@@ -191,3 +191,67 @@ def test_summary_names_requests_without_match(spark):
     rows = {row.query_id: (row.results, row.matched, row.message) for row in find.search_summary(asked, hits).collect()}
     nothing = (0, False, "No matching texts were found.")
     assert rows == {1: (1, True, None), 2: nothing, 3: nothing}
+
+
+def stored_texts_of(spark, texts, buckets, path):
+    table = spark.createDataFrame([(i, "t", text, i % buckets) for i, text in texts.items()], "text_id long, title string, text string, text_bucket int")
+    table.write.partitionBy("text_bucket").parquet(path)
+    return spark.read.schema("text_id long, title string, text string, text_bucket int").parquet(path)
+
+
+@pytest.mark.parametrize("stretch", [find.MAX_BROADCAST_RESULTS, 40, 1])
+def test_many_results_are_ranked_once_and_texts_stay(spark, monkeypatch, tmp_path, stretch):
+    texts, requests = random_corpus(11)
+    _, index, asked = frames(spark, texts, requests)
+    stored = stored_texts_of(spark, texts, 6, str(tmp_path / "texts"))
+    want = sorted(map(str, find.search(index, stored, asked, BINS, text_buckets=6).collect()))
+    monkeypatch.setattr(find, "MAX_RESULTS", 100)
+    monkeypatch.setattr(find, "MAX_BROADCAST_RESULTS", stretch)
+    for require_all in (False, True):
+        found = find.search(index, stored, asked, BINS, text_buckets=6, require_all=require_all)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan  # the stored ranking is read
+        if stretch > 1 and not require_all:  # completeness is settled by ids, which are shuffled
+            assert "SortMergeJoin" not in plan and "hashpartitioning(text_id" not in plan and "hashpartitioning(_id" not in plan
+        assert sorted(map(str, found.collect())) == want
+    assert len(want) > 100
+    fewer = stored.where("text_id % 10 <> 3")
+    hits = find.search_hits(index, request_sequences(asked), BINS, 10)
+    ranked_hits = [(row.query_id, row.text_id) for row in hits.collect()]
+    gone = sorted(hit for hit in ranked_hits if hit[1] % 10 == 3)
+    assert gone and sorted(tuple(row) for row in find.missing_texts(hits, fewer, 6).collect()) == gone
+    whole = find.read_texts(hits, fewer, 6, require_all=True)
+    lacking = {query_id for query_id, _ in gone}
+    assert sorted((row.query_id, row.text_id) for row in whole.collect()) == sorted(hit for hit in ranked_hits if hit[0] not in lacking)
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_hot_rarest_word_is_cut_into_blocks(spark, monkeypatch, sent):
+    chooser = random.Random(4)
+    letters = [f"q{chr(97 + i)}" for i in range(12)]
+    # The one word of all requests is in every third text; all others are in more.
+    texts = {i: " ".join(chooser.sample(letters, 10) + ["hot"] * (i % 3 == 0)) for i in range(90)}
+    requests = {i: " ".join(["hot", *chooser.sample(letters, chooser.randint(1, 4))]) for i in range(200)}
+    _, index, asked = frames(spark, texts, requests)
+    want = answers(texts, requests, "exact")
+    monkeypatch.setattr(find, "MAX_PINNED", 0)
+    monkeypatch.setattr(find, "MAX_BROADCAST_WORDS", 0)
+    monkeypatch.setattr(find, "MAX_BROADCAST_ROWS", sent)
+    monkeypatch.setattr(find, "BLOCK_PAIRS", 64)
+    found = find.search_hits(index, request_sequences(asked), BINS, 10**6, "exact", vocabulary(index))
+    assert hits_of(found) == want
+    held = find.all_words_filter(index, request_sequences(asked), BINS).collect()
+    assert {(row.query_id, row.text_id) for row in held} == {
+        (query_id, text_id) for query_id, words in requests.items() for text_id, text in texts.items() if set(words.split()) <= set(text.split())
+    }
+
+
+def test_requests_that_share_a_rarest_word_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(find, "BLOCK_PAIRS", 1 << 18)
+    word = find._word(F.lit("hot"))
+    held = spark.range(20).select(F.col("id").alias("text_id"), word.alias("driver"))
+    requests = spark.range(300_000).select(word.alias("driver"), F.col("id").alias("seq_id"))
+    drivers = spark.range(300_000).select(F.lit("hot").alias("driver"), F.lit(20).cast("bigint").alias("driver_texts"))
+    pairs = find._pairs_in_blocks(held, requests, drivers)
+    loads = [row["count"] for row in pairs.groupBy("_text_blocks_at", "_request_blocks_at").count().collect()]
+    assert sum(loads) == 300_000 * 20 and len(loads) >= 20 and max(loads) < 1.5 * sum(loads) / len(loads)

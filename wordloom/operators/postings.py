@@ -77,6 +77,6 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     )
 
 
-def touched_hashes(postings: DataFrame, generation_timestamp: Column) -> DataFrame:
-    """(bin, hash, generation_timestamp): the words a batch has touched, one time stamp for all of them."""
-    return postings.select("bin", "hash").distinct().withColumn("generation_timestamp", generation_timestamp)
+def touched_hashes(postings: DataFrame, *of: str) -> DataFrame:
+    """(bin, hash, of...): the words that batches have touched, once per value of the columns ``of``."""
+    return postings.select("bin", "hash", *of).distinct()

@@ -17,6 +17,7 @@ from wordloom.functions.hashing import bin_of
 from wordloom.functions.matching import aliases, exact_hits, frequency, places, run_hits, settle
 from wordloom.operators.postings import Stopwords
 from wordloom.operators.requests import request_sequences
+from wordloom.session import shared_folder
 
 MODES = ("run", "exact")
 
@@ -29,8 +30,12 @@ MAX_PINNED_WORDS = 500_000
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_WORDS = 1_000_000
 # Ranked results that are held as a local table, so that their ids become values in the scan of the texts: ids and
-# scores, some 100 bytes a row. More results are joined.
+# scores, some 100 bytes a row. More results are written and joined.
 MAX_RESULTS = 10_000
+# Ranked results that are sent to the texts of some buckets at a time.
+MAX_BROADCAST_RESULTS = 500_000
+# Pairs of a text and a request with one driver word that meet in one block, where requests are too many to broadcast.
+BLOCK_PAIRS = 1 << 22
 # Text ids that may be broadcast to thin out the postings before they are shuffled.
 MAX_CANDIDATES = 2_000_000
 
@@ -73,14 +78,27 @@ class RequestSet:
 
     def __init__(self, sequences: DataFrame, bins: int):
         some = sequences.where(F.size("hashes") > 0)
-        first = some.groupBy("hashes").agg(F.min("query_id").alias("seq_id"))
-        members = some.join(first, "hashes").select("query_id", "seq_id", "hashes")
         rows = None
         if _at_most(some, MAX_PINNED, MAX_PINNED_WORDS):
-            members, rows = _pin(members, MAX_PINNED)
-        few = rows is not None or _at_most(some, MAX_BROADCAST_ROWS, MAX_BROADCAST_WORDS)
+            few, (members, rows) = True, self._numbered(some)
+        else:
+            first = some.groupBy("hashes").agg(F.min("query_id").alias("seq_id"))
+            members = some.join(first, "hashes").select("query_id", "seq_id", "hashes")
+            few = _at_most(some, MAX_BROADCAST_ROWS, MAX_BROADCAST_WORDS)
         self._set(sequences.sparkSession, members, rows, few, bins)
 
+    @staticmethod
+    def _numbered(some: DataFrame) -> tuple[DataFrame, list[dict]]:
+        """The members of few requests as a local table, numbered without a job of their own."""
+        asked = some.select("query_id", "hashes").toArrow()
+        first: dict[tuple[str, ...], int] = {}
+        rows = sorted(asked.to_pylist(), key=lambda row: row["query_id"])
+        for row in rows:
+            row["seq_id"] = first.setdefault(tuple(row["hashes"]), row["query_id"])
+        columns = {name: pa.array([row[name] for row in rows], asked.schema.field("query_id").type) for name in ("query_id", "seq_id")}
+        columns["hashes"] = pa.array([row["hashes"] for row in rows], asked.schema.field("hashes").type)
+        return some.sparkSession.createDataFrame(pa.table(columns)), rows
+
     def _set(self, spark, members: DataFrame, rows: list[dict] | None, few: bool, number_of_bins: int) -> None:
         self.members, self.rows, self.few, self.number_of_bins = members, rows, few, number_of_bins
         self.pinned = rows is not None
@@ -128,11 +146,21 @@ class RequestSet:
             counted = self(vocabulary).select("hash", "texts")
         return _pin(counted, MAX_PINNED) if self.pinned else (counted, None)
 
-    def drivers(self, counts: DataFrame) -> tuple[DataFrame, list[dict] | None]:
+    def drivers(self, counts: DataFrame, count_rows: list[dict] | None) -> tuple[DataFrame, list[dict] | None]:
         """(driver, driver_texts, seq_id, hashes): each distinct request under its rarest word.
 
-        A request with a word that the index lacks has no row: it matches nothing.
+        A request with a word that the index lacks has no row: it matches nothing. With few requests and words the
+        driver program looks them up itself.
         """
+        if count_rows is not None:
+            known = {row["hash"]: row["texts"] for row in count_rows}
+            found = []
+            for row in self.rows:
+                if row["query_id"] == row["seq_id"] and all(value in known for value in row["hashes"]):
+                    texts, driver = min((known[value], value) for value in set(row["hashes"]))
+                    found.append({"driver": driver, "driver_texts": texts, "seq_id": row["seq_id"], "hashes": row["hashes"]})
+            schema = f"driver string, driver_texts bigint, seq_id {self.members.schema['seq_id'].dataType.simpleString()}, hashes array<string>"
+            return self.members.sparkSession.createDataFrame([tuple(row.values()) for row in found], schema), found
         words = self.distinct.select("seq_id", F.explode(F.array_distinct("hashes")).alias("hash"))
         rarest = (
             words.join(_small(counts, self.small), "hash")
@@ -146,7 +174,7 @@ class RequestSet:
                 F.col("_rarest.hash").alias("driver"), F.col("_rarest.texts").alias("driver_texts"), "seq_id", "hashes"
             )
         )
-        return _pin(drivers, MAX_PINNED) if self.pinned else (drivers, None)
+        return drivers, None
 
     def fan_out(self, matched: DataFrame) -> DataFrame:
         """From distinct requests back to all requests: seq_id becomes query_id."""
@@ -185,7 +213,7 @@ def match_words(index: DataFrame, chosen: RequestSet, vocabulary: DataFrame | No
     """
     found = chosen(index).select("hash", "text_id", "total_words")
     counts, count_rows = chosen.counts(index, vocabulary)
-    drivers, driver_rows = chosen.drivers(counts)
+    drivers, driver_rows = chosen.drivers(counts, count_rows)
     if count_rows is not None and driver_rows is not None:
         found = _thinned(found, driver_rows, count_rows)
     marked = _with_driver_mark(found, chosen, drivers, driver_rows)
@@ -206,11 +234,50 @@ def match_words(index: DataFrame, chosen: RequestSet, vocabulary: DataFrame | No
         "hashes",
         F.transform(F.array_distinct("hashes"), _word).alias("asked"),
     )
-    pairs = held.join(_small(requests, chosen.few), "driver")
+    if chosen.few:
+        pairs = held.join(F.broadcast(requests), "driver")
+    else:
+        pairs = _pairs_in_blocks(held, requests, drivers)
     has_all = F.size(F.array_except("asked", "words")) == 0
     return pairs.where(has_all).select("seq_id", "hashes", "text_id", "total_words")
 
 
+def _pairs_in_blocks(held: DataFrame, requests: DataFrame, drivers: DataFrame) -> DataFrame:
+    """Texts and requests that share a driver word, a task never more than ``BLOCK_PAIRS`` or so of one word.
+
+    Of a hot word, with many requests or many texts or both, the requests are cut into blocks and so are the texts;
+    every two blocks meet under a key of their own. Texts are copied once per block of requests and the other way round.
+    """
+    side = int(BLOCK_PAIRS**0.5)
+    load = drivers.groupBy("driver").agg(F.count(F.lit(1)).alias("requests"), F.max("driver_texts").alias("texts"))
+
+    def blocks(mine: str, other: str) -> Column:
+        # A short other side leaves room for longer blocks of this one.
+        return F.ceil(F.col(mine) * F.least(F.col(other), F.lit(side)) / F.lit(BLOCK_PAIRS)).cast("int")
+
+    # Each hot word stands for ``BLOCK_PAIRS`` pairs and is one row here.
+    hot = load.where(F.col("requests") * F.col("texts") > BLOCK_PAIRS).select(
+        _word(F.col("driver")).alias("driver"),
+        blocks("requests", "texts").alias("_request_blocks"),
+        blocks("texts", "requests").alias("_text_blocks"),
+    )
+    hot = _small(hot, _at_most(hot, MAX_BROADCAST_ROWS))
+
+    def one(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(1))
+
+    def cut(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """Each row in its own block, and once for every block of the other side."""
+        marked = rows.join(hot, "driver", "left")
+        block = F.pmod(F.xxhash64(key), one(own)).cast("int").alias(own + "_at")
+        every = F.explode(F.sequence(F.lit(0), one(other) - 1)).alias(other + "_at")
+        return marked.select(*rows.columns, block, every)
+
+    texts = cut(held, "text_id", "_text_blocks", "_request_blocks")
+    asked = cut(requests, "seq_id", "_request_blocks", "_text_blocks")
+    return texts.join(asked, ["driver", "_text_blocks_at", "_request_blocks_at"])
+
+
 def match_texts(index: DataFrame, chosen: RequestSet, vocabulary: DataFrame | None = None) -> DataFrame:
     """``match_words`` with ``places``, the positions per word of the request; only texts that match are read for them."""
     matched = match_words(index, chosen, vocabulary)
@@ -233,8 +300,7 @@ def posting_lookup(index: DataFrame, sequences: DataFrame, bins: int, vocabulary
     A request with a word that the index lacks has none.
     """
     chosen = RequestSet(sequences, bins)
-    counts, _ = chosen.counts(index, vocabulary)
-    known = chosen.drivers(counts)[0].select("seq_id", "hashes")
+    known = chosen.drivers(*chosen.counts(index, vocabulary))[0].select("seq_id", "hashes")
     words = chosen.fan_out(known).select("query_id", F.posexplode(F.array_distinct("hashes")).alias("alias", "hash"))
     return (
         chosen(index)
@@ -339,46 +405,111 @@ def search_hits(
     return _ranked(index, RequestSet(sequences, bins), n, mode, vocabulary)
 
 
-def _with_texts(hits: DataFrame, texts: DataFrame, text_buckets: int | None) -> DataFrame:
-    """Hits with the columns of their texts as a struct ``_text``, null where a text is missing.
+class _Results:
+    """Ranked hits, computed once: a local table if they are few, else a stored table.
 
-    Few hits are computed first; their buckets and ids then stand in the scan as values, so that it reads only the
-    files and row groups of those texts. Many hits are joined.
+    ``most`` is a bound on the number of hits where one is known; without a small one the hits are written first and
+    counted then.
     """
-    metadata = [name for name in texts.columns if name not in ("text_id", "text_bucket", "batch_id")]
-    pinned, rows = _pin(hits, MAX_RESULTS)
-    if rows is not None:
-        ids = sorted({row["text_id"] for row in rows})
-        if text_buckets is not None:
-            texts = texts.where(F.col("text_bucket").isin(sorted({text_id % text_buckets for text_id in ids})))
-        texts = texts.where(F.col("text_id").isin(ids))
-    stored = texts.select(F.col("text_id").alias("_id"), F.struct(*metadata).alias("_text"))
-    if rows is None:
-        return hits.join(stored, F.col("text_id") == F.col("_id"), "left").drop("_id")
-    # The hits are the small side: the texts of a broadcast stay where they are.
-    found = F.broadcast(pinned.select("text_id").distinct()).join(stored, F.col("text_id") == F.col("_id"))
-    return pinned.join(found.select("text_id", "_text"), "text_id", "left")
-
-
-def missing_texts(hits: DataFrame, texts: DataFrame, text_buckets: int | None = None) -> DataFrame:
+
+    def __init__(self, hits: DataFrame, most: int | None, text_buckets: int | None):
+        self.rows: list[dict] | None = None
+        self.text_buckets = text_buckets
+        if most is None or most > MAX_RESULTS:
+            path, schema, writer = shared_folder(hits.sparkSession), hits.schema, hits.write
+            if text_buckets is not None:
+                dealt = hits.withColumn("_bucket", F.pmod("text_id", F.lit(text_buckets)).cast("int"))
+                schema, writer = dealt.schema, dealt.hint("rebalance", "_bucket").write.partitionBy("_bucket")
+            writer.parquet(path)
+            hits = hits.sparkSession.read.schema(schema).parquet(path)
+            most = hits.count()  # from the footers
+        if most <= MAX_RESULTS:
+            table = hits.drop("_bucket").toArrow()
+            hits, self.rows = hits.sparkSession.createDataFrame(table), table.to_pylist()
+        self.hits, self.number = hits, most
+
+    def parts(self, texts: DataFrame) -> list[tuple[DataFrame, DataFrame, bool]]:
+        """(hits, texts, small): hits with the stretch of the text table that holds their texts.
+
+        Few hits put their buckets and ids into the scan as values. Many are dealt by bucket into stretches that are
+        small enough to be sent to the texts; only a stretch of a single bucket can be larger.
+        """
+        if self.rows is not None:
+            ids = sorted({row["text_id"] for row in self.rows})
+            if self.text_buckets is not None:
+                texts = texts.where(F.col("text_bucket").isin(sorted({text_id % self.text_buckets for text_id in ids})))
+            return [(self.hits, texts.where(F.col("text_id").isin(ids)), True)]
+        if self.text_buckets is None:
+            return [(self.hits, texts, self.number <= MAX_BROADCAST_RESULTS)]
+        loads = sorted((row["_bucket"], row["count"]) for row in self.hits.groupBy("_bucket").count().collect())
+        stretches: list[tuple[list[int], int]] = []
+        for number, load in loads:
+            if not stretches or stretches[-1][1] + load > MAX_BROADCAST_RESULTS:
+                stretches.append(([], 0))
+            held, total = stretches.pop()
+            stretches.append((held + [number], total + load))
+        return [
+            (self.hits.where(F.col("_bucket").isin(held)), texts.where(F.col("text_bucket").isin(held)), load <= MAX_BROADCAST_RESULTS)
+            for held, load in stretches
+        ]
+
+
+def _found_ids(results: _Results, texts: DataFrame) -> DataFrame:
+    """(text_id): the texts of the hits that are stored. Only ids are read."""
+    parts = [
+        F.broadcast(hits.select("text_id").distinct()).join(stored.select("text_id"), "text_id")
+        if small
+        else hits.select("text_id").distinct().join(stored.select("text_id"), "text_id")
+        for hits, stored, small in results.parts(texts)
+    ]
+    return reduce(DataFrame.unionByName, parts) if parts else results.hits.select("text_id")
+
+
+def _missing(results: _Results, texts: DataFrame) -> DataFrame:
+    found = _found_ids(results, texts)
+    if results.rows is not None:
+        there = {row.text_id for row in found.collect()}
+        gone = [(row["query_id"], row["text_id"]) for row in results.rows if row["text_id"] not in there]
+        return results.hits.sparkSession.createDataFrame(gone, results.hits.select("query_id", "text_id").schema)
+    return results.hits.join(found, "text_id", "left_anti").select("query_id", "text_id")
+
+
+def missing_texts(hits: DataFrame, texts: DataFrame, text_buckets: int | None = None, most: int | None = None) -> DataFrame:
     """(query_id, text_id) of hits without a stored text."""
-    return _with_texts(hits, texts, text_buckets).where(F.col("_text").isNull()).select("query_id", "text_id")
+    return _missing(_Results(hits, most, text_buckets), texts)
 
 
-def read_texts(hits: DataFrame, texts: DataFrame, text_buckets: int | None = None, require_all: bool = True) -> DataFrame:
+def read_texts(
+    hits: DataFrame, texts: DataFrame, text_buckets: int | None = None, require_all: bool = True, most: int | None = None
+) -> DataFrame:
     """Hits with their stored texts: query_id, rank, scores, text_id, metadata, text.
 
     ``text_buckets`` names the bucket count of a stored text table, so only the buckets of the hits are
     read. With ``require_all`` a request with a missing text has no result, else the rows found stay.
+
+    Hits are computed once. They go to the texts, stretch by stretch of the text table, and texts are not shuffled;
+    only hits of a single bucket that are too many to broadcast are left to the planner.
     """
-    found = _with_texts(hits, texts, text_buckets)
+    results = _Results(hits, most, text_buckets)
     if require_all:
-        # A request has n results at most.
-        lacks = F.max(F.col("_text").isNull()).over(Window.partitionBy("query_id"))
-        found = found.withColumn("_lacks", lacks).where(~F.col("_lacks"))
+        lacking = _missing(results, texts).select("query_id").distinct()
+        if results.rows is not None:
+            lacks = {row.query_id for row in lacking.collect()}
+            results.rows = [row for row in results.rows if row["query_id"] not in lacks]
+            rows = [tuple(row[name] for name in results.hits.columns) for row in results.rows]
+            results.hits = results.hits.sparkSession.createDataFrame(rows, results.hits.schema)
+        else:
+            results.hits = results.hits.join(lacking, "query_id", "left_anti")
     metadata = [name for name in texts.columns if name not in ("text_id", "text", "text_bucket", "batch_id")]
-    columns = [F.col("_text")[name].alias(name) for name in [*metadata, "text"]]
-    return found.where(F.col("_text").isNotNull()).select("query_id", "rank", *HIT_COLUMNS, "text_id", *columns)
+    parts = []
+    for part, stored, small in results.parts(texts):
+        content = stored.select(F.col("text_id").alias("_id"), F.struct(*metadata, "text").alias("_text"))
+        joined = _small(part, small).join(content, F.col("text_id") == F.col("_id"))
+        columns = [F.col("_text")[name].alias(name) for name in [*metadata, "text"]]
+        parts.append(joined.select("query_id", "rank", *HIT_COLUMNS, "text_id", *columns))
+    if not parts:
+        return read_texts(results.hits.drop("_bucket"), texts, None, False, 0)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search(
@@ -399,7 +530,8 @@ def search(
     sequences = request_sequences(requests, stopwords, normalize_stopwords, digest)
     chosen = RequestSet(sequences, bins)
     hits = _ranked(index, chosen, n, mode, vocabulary)
-    return read_texts(hits, texts, text_buckets, require_all)
+    most = len(chosen.rows) * n if chosen.pinned else None
+    return read_texts(hits, texts, text_buckets, require_all, most)
 
 
 def search_summary(requests: DataFrame, results: DataFrame) -> DataFrame:

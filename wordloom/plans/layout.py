@@ -18,16 +18,28 @@ class Layout:
     text_buckets: int = 500
 
     @property
-    def texts(self) -> str:
-        return f"{self.root}/texts"
+    def manifest(self) -> str:
+        """The live generations, one slot per version, the oldest one replaced by the next."""
+        return f"{self.root}/manifest"
+
+    @property
+    def batches(self) -> str:
+        """The batches that were appended, by epoch: the version of the manifest they were appended under."""
+        return f"{self.root}/batches"
 
     @property
     def staging(self) -> str:
+        """Postings as they were appended, by epoch."""
         return f"{self.root}/staging"
 
     @property
-    def touched(self) -> str:
-        return f"{self.root}/touched"
+    def arrived(self) -> str:
+        """Texts as they were appended, by epoch and write."""
+        return f"{self.root}/arrived"
+
+    @property
+    def texts(self) -> str:
+        return f"{self.root}/texts"
 
     @property
     def index(self) -> str:

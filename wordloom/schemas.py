@@ -23,6 +23,15 @@ STAGED_POSTING = StructType(
 
 POSTING = StructType([field for field in STAGED_POSTING if field.name != "batch_id"])
 
+# Postings as they are appended: all batches of an epoch in one folder.
+APPENDED_POSTING = StructType(
+    [
+        *STAGED_POSTING,
+        StructField("write", LongType()),
+        StructField("generation_timestamp", TimestampType()),
+    ]
+)
+
 TOUCHED_HASH = StructType(
     [
         StructField("hash", StringType()),
@@ -41,6 +50,29 @@ VOCABULARY = StructType(
     ]
 )
 
+MANIFEST = StructType(
+    [
+        StructField("version", LongType()),
+        StructField("kind", StringType()),
+        StructField("batch_id", StringType()),
+        StructField("write", LongType()),
+        StructField("generation", LongType()),
+        StructField("text_generation", LongType()),
+        StructField("amount", LongType()),
+        StructField("fields", StringType()),
+    ]
+)
+
+REGISTERED = StructType(
+    [
+        StructField("batch_id", StringType()),
+        StructField("write", LongType()),
+        StructField("data_epoch", LongType()),
+        StructField("stamp", LongType()),
+        StructField("fields", StringType()),
+    ]
+)
+
 STATE = StructType(
     [
         StructField("texts_total", LongType()),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 ROW_GROUP_BYTES = 8 << 20
 
 
@@ -16,18 +15,22 @@ def text_rows(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.select("text_id", *metadata, "text", bucket.alias("text_bucket"))
 
 
-def write_texts(texts: DataFrame, path: str, batch_id: str, buckets: int) -> None:
-    """Store a batch of texts. Writing a batch again replaces it.
+def write_arrived(texts: DataFrame, path: str) -> None:
+    """Store texts as they come: no shuffle, no buckets, few files."""
+    texts.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Deal texts into their buckets.
 
     The rebalance hint lets the planner split large buckets and join small ones. Row groups are small and sorted by
     id, so that a lookup of few ids reads little.
     """
     (
-        text_rows(texts, buckets)
-        .hint("rebalance", "text_bucket")
+        texts.hint("rebalance", "text_bucket")
         .sortWithinPartitions("text_bucket", "text_id")
         .write.mode("overwrite")
         .option("parquet.block.size", ROW_GROUP_BYTES)
         .partitionBy("text_bucket")
-        .parquet(f"{path}/batch_id={batch_id}")
+        .parquet(path)
     )
