@@ -238,19 +238,61 @@ def bucket_members(keyed: DataFrame, max_bucket: int) -> DataFrame:
     return members.where(F.col("block") != CROWDED).unionByName(cut)
 
 
+def shingle_values(lines: list[str]) -> list[np.ndarray]:
+    """The shingles of each line as sorted different numbers; equal shingles, and no others, have equal numbers.
+
+    Five characters below U+0FFF are one number of 60 bits. With others among the lines, stretches of three and of two
+    characters are numbered first and the two numbers are put together.
+    """
+    sizes = np.array([max(len(line), SHINGLE) for line in lines])
+    joined = "".join(line if len(line) >= SHINGLE else line.ljust(SHINGLE, "\0") for line in lines)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    ends = np.cumsum(sizes)
+    for line, end in zip(lines, ends.tolist()):
+        if len(line) < SHINGLE:
+            codes[end - SHINGLE + len(line) : end] = 0  # no character
+
+    def packed(first: int, last: int, bits: int) -> np.ndarray:
+        value = codes[first : len(codes) - SHINGLE + 1 + first]
+        for i in range(first + 1, last):
+            value = (value << np.uint64(bits)) | codes[i : len(codes) - SHINGLE + 1 + i]
+        return value
+
+    if codes.max() < 1 << 12:
+        values = packed(0, SHINGLE, 12)
+    else:
+        three = np.unique(packed(0, 3, 21), return_inverse=True)[1].astype(np.uint64)
+        values = (three << np.uint64(32)) | np.unique(packed(3, SHINGLE, 21), return_inverse=True)[1].astype(np.uint64)
+    found = []
+    for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
+        own = np.sort(values[begin : end - SHINGLE + 1])
+        found.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+    return found
+
+
+def similar(own: np.ndarray, other: np.ndarray, similarity: float) -> bool:
+    """Exact Jaccard similarity of two sets of ``shingle_values``."""
+    low, high = sorted((len(own), len(other)))
+    if low < similarity * high:
+        return False
+    together = np.sort(np.concatenate([own, other]))
+    both = int(np.count_nonzero(together[1:] == together[:-1]))
+    return both >= similarity * (low + high - both)
+
+
 def linked(lines: dict[int, str], similarity: float) -> list[tuple[int, int]]:
     """(line, root) of each line of a bucket that is connected to a smaller one, by exact Jaccard similarity."""
-    sets = {line_id: shingles(line) for line_id, line in lines.items()}
-    rest, out = sorted(sets), []
+    if len(lines) < 2:
+        return []
+    rest, out = sorted(lines), []
+    sets = dict(zip(rest, shingle_values([lines[line_id] for line_id in rest])))
     while rest:
         root, front = rest[0], [rest[0]]
         rest = rest[1:]
         while front and rest:
             own, kept = sets[front.pop()], []
             for line_id in rest:
-                other = sets[line_id]
-                low, high = sorted((len(own), len(other)))
-                if low >= similarity * high and (both := len(own & other)) >= similarity * (low + high - both):
+                if similar(own, sets[line_id], similarity):
                     out.append((line_id, root))
                     front.append(line_id)
                 else:
