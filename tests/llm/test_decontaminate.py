@@ -87,5 +87,9 @@ def test_spans_are_cut_out(spark):
     benchmark = spark.createDataFrame([(1, TEN)], "item_id bigint, text string")
     kept = {row.doc_id: row.text for row in decontaminate.remove(documents, benchmark, "spans").collect()}
     assert kept == {1: "Keep, This too.", 2: "Nothing here."}
+    clashing = documents.selectExpr("*", "1 AS _hit_id", "2 AS _hit_key", "3 AS _spans", "4 AS key", "5 AS spans")
+    for mode, want in (("documents", {2}), ("spans", {1, 2})):
+        found = decontaminate.remove(clashing, benchmark, mode)
+        assert found.columns == clashing.columns and {row.doc_id for row in found.collect()} == want
     with pytest.raises(ValueError):
         decontaminate.remove(documents, benchmark, "other")

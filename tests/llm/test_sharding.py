@@ -64,3 +64,21 @@ def test_edges(spark):
     assert sharding.shard(frame.limit(0)).count() == 0
     with pytest.raises(ValueError):
         sharding.shard_of(F.lit("x"), [0.0])
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_slots_in_the_order_of_files(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr("wordloom.llm.numbering.BLOCK_ROWS", block)
+    rows = [(i % 90, "hot" if i % 3 else str(i), 1, 2) for i in range(600)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id bigint, text string, _metadata int, file int").repartition(5).write.parquet(path)
+    stored = spark.read.parquet(path)
+    got = sharding.shard(stored, weights=[1.0, 0.0, 3.0], in_order=True).collect()
+    place = stored.metadataColumn("_metadata")
+    want = stored.select("doc_id", "text", place["file_name"].alias("f"), place["row_index"].alias("r")).orderBy("f", "r").collect()
+    shard = {row.row.doc_id: row.shard for row in got}
+    for number in (0, 2):
+        own = sorted((row.slot, row.row.doc_id, row.row.text) for row in got if row.shard == number)
+        assert [slot for slot, *_ in own] == list(range(len(own)))
+        assert [tuple(entry[1:]) for entry in own] == [(row.doc_id, row.text) for row in want if shard[row.doc_id] == number]
+    assert sharding.shard(spark.read.parquet(path).limit(600).where("false"), in_order=True).count() == 0

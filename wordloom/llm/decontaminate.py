@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.matching import settle
-from wordloom.llm.expressions import PLAIN_WORD, let, lower_ascii, places, text_key, unused, words_of
+from wordloom.llm.expressions import PLAIN_WORD, column, let, lower_ascii, places, text_key, unused, words_of
 
 WINDOW = 10
 #: A table of windows is broadcast below this many bytes of text.
@@ -179,11 +179,11 @@ def remove(
     if mode not in ("documents", "spans"):
         raise ValueError("mode must be documents or spans")
     found = contamination(documents, benchmark, doc_id, text, **options).where("contaminated")
-    spans = unused(documents, "_spans")
-    hit = found.select(F.col("doc_id").alias("_hit_id"), F.col("key").alias("_hit_key"), F.col("spans").alias(spans)).distinct()
-    match = documents[doc_id].eqNullSafe(F.col("_hit_id")) & (text_key(documents[text]) == F.col("_hit_key"))
+    hit_id, hit_key, spans = (unused(documents, name) for name in ("_hit_id", "_hit_key", "_spans"))
+    hit = found.select(F.col("doc_id").alias(hit_id), F.col("key").alias(hit_key), F.col("spans").alias(spans)).distinct()
+    match = column(doc_id).eqNullSafe(F.col(hit_id)) & (text_key(column(text)) == F.col(hit_key))
     if mode == "documents":
         return documents.join(hit, match, "left_anti")
     joined = documents.join(hit, match, "left")
-    cut = F.when(F.col(spans).isNull(), documents[text]).otherwise(_without(documents[text], F.col(spans)))
-    return joined.select(*[cut.alias(c) if c == text else documents[c] for c in documents.columns])
+    cut = F.when(F.col(spans).isNull(), column(text)).otherwise(_without(column(text), F.col(spans)))
+    return joined.select(*[cut.alias(c) if c == text else column(c) for c in documents.columns])

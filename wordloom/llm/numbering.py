@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECE_ROWS = 4096
+#: Rows of a file that ``by_place`` numbers together.
+BLOCK_ROWS = 1 << 16
 #: A group has this many pieces at least, so that a group of a third of all rows is spread in small tables too.
 LEAST_PIECES = 128
 MOST_PIECES = 1 << 24
@@ -57,3 +59,23 @@ def running(
     return numbered.join(starts, match).select(
         *frame.columns, *[(F.col(f"_start_{name}") + F.col(f"_own_{name}")).alias(name) for name in amounts]
     )
+
+
+def place_of(stored: DataFrame) -> tuple[Column, Column]:
+    """(file, line) of the rows of a table that Spark has written: the number of the part, and the place in it."""
+    place = stored.metadataColumn("_metadata")
+    return F.regexp_extract(place["file_name"], r"^part-(\d+)", 1).cast("int"), place["row_index"]
+
+
+def by_place(frame: DataFrame, group: str, file: str, line: str, name: str) -> DataFrame:
+    """Consecutive numbers from 0 in each group, in the order of ``file`` and ``line`` from ``place_of``.
+
+    Rows are counted in blocks of a file first, so a group of any size is numbered by many tasks.
+    """
+    cut = frame.withColumn("_block", F.floor(F.col(line) / F.lit(BLOCK_ROWS)))
+    before = Window.partitionBy(group).orderBy(file, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut.groupBy(group, file, "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    blocks = blocks.select(group, file, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group, file, "_block").orderBy(line)) - 1
+    numbered = cut.withColumn("_inside", inside).join(blocks, [group, file, "_block"])
+    return numbered.select(*frame.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(name))

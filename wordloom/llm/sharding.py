@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.expressions import column, let, text_key
-from wordloom.llm.numbering import hashed_order, running
+from wordloom.llm.numbering import by_place, hashed_order, place_of, running
 
 SHARDS = 40
 SHARDS_PER_RACK = 5
@@ -91,11 +91,15 @@ def shard(
     keep: Sequence[str] | None = None,
     shards_per_rack: int = SHARDS_PER_RACK,
     racks_per_region: int = RACKS_PER_REGION,
+    in_order: bool = False,
 ) -> DataFrame:
     """(row, size, text_crc32, shard, slot, grown_shard), one row per document.
 
     ``row`` holds the columns to keep, all unless ``keep`` names some. ``slot`` counts from 0 in each shard without
-    gaps, in hashed order. ``grown`` are the weights of a changed tree, by default with one more shard of weight 1.
+    gaps, in hashed order, or with ``in_order`` in the order of the rows in their files; ``documents`` are then a table
+    that Spark has written. ``grown`` are the weights of a changed tree, by default with one more shard of weight 1.
+    A shard added to full regions, like the 41st to forty, takes rows only into itself; one added to a region that is
+    not full changes the weight of that region and rack, and rows move inside it and into it.
     """
     kept = list(documents.columns if keep is None else keep)
     key = F.coalesce(F.col("id").cast("string"), F.lit("-"))
@@ -107,13 +111,12 @@ def shard(
         text_key(F.col(text)).alias("key"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + EXTRA_BYTES).cast("bigint").alias("size"),
         F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
+        *([part.alias(name) for part, name in zip(place_of(documents), ("file", "line"))] if in_order else []),
     )
-    placed = rows.withColumns(
-        {
-            "order": hashed_order(F.col("id"), F.col("text_crc32")),
-            "shard": shard_of(key, weights, *shape),
-            "grown_shard": shard_of(key, grown, *shape),
-        }
-    )
+    placed = rows.withColumns({"shard": shard_of(key, weights, *shape), "grown_shard": shard_of(key, grown, *shape)})
+    if in_order:
+        numbered = by_place(placed, "shard", "file", "line", "slot")
+        return numbered.select("row", "size", "text_crc32", "shard", "slot", "grown_shard")
+    placed = placed.withColumn("order", hashed_order(F.col("id"), F.col("text_crc32")))
     numbered = running(placed, ["shard"], "order", ["id", "size", "key"], {"slot": F.lit(1)}, documents.count())
     return numbered.select("row", "size", "text_crc32", "shard", F.col("slot").cast("bigint").alias("slot"), "grown_shard")
