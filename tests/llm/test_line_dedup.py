@@ -120,3 +120,42 @@ def test_crowded_buckets_are_passed_on_and_cut_in_spark(spark):
     assert len({bucket for bucket, _ in blocks}) == 1 and max(map(len, blocks.values())) <= 4 * most
     met = {frozenset((a, b)) for lines in blocks.values() for a in lines if a < 40 for b in lines if a < b < 40}
     assert len(met) == 40 * 39 // 2
+
+
+def test_numbers_of_shingles_are_exact():
+    draw = np.random.default_rng(9)
+    plain = ["".join(draw.choice(list("abc é"), draw.integers(0, 40))) for _ in range(60)]
+    for lines in (plain, plain + ["日本語のテスト文です", "\0\0ab", "ab", "ab\0", "𝒳𝒴𝒵 wide", "日本"]):
+        sets, values = [line_dedup.shingles(line) for line in lines], line_dedup.shingle_values(lines)
+        assert [len(own) for own in sets] == [len(own) for own in values]
+        for a, own in zip(sets, values):
+            for b, other in zip(sets, values):
+                assert len(a & b) == len(np.intersect1d(own, other))
+                for least in (0.3, 0.8):
+                    assert line_dedup.similar(own, other, least) == (jaccard(a, b) >= least)
+
+
+def test_clashing_names_and_similarities_that_are_refused(spark):
+    rows = [(1, "a line that is there twice", 1, 2, 3), (2, "a line that is there twice\nother words", 1, 2, 3)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _lost_id int, _lost_key int, _lost_lines int")
+    clean = line_dedup.dedup_lines(frame)
+    assert clean.columns == frame.columns and {row.doc_id: row.text for row in clean.collect()} == {1: rows[0][1], 2: "other words"}
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(frame, similarity=0.5)
+
+
+@pytest.mark.parametrize("one_by_one", [0, 100])
+def test_links_of_a_bucket_connect_what_brute_force_connects(monkeypatch, one_by_one):
+    monkeypatch.setattr(line_dedup, "ONE_BY_ONE", one_by_one)
+    draw = np.random.default_rng(one_by_one)
+    for size in (0, 1, 2, 5, 60):
+        lines = {}
+        for i in range(size):
+            text = list("the same beginning of many lines " * 2 + "kind %d" % draw.integers(0, 4) * 6)
+            for place in draw.integers(0, len(text), draw.integers(0, 3)):
+                text[place] = "#"
+            lines[int(i * 7 % 61)] = "".join(text)
+        sets = {line_id: line_dedup.shingles(line) for line_id, line in lines.items()}
+        links = [(a, b) for a in sets for b in sets if a > b and jaccard(sets[a], sets[b]) >= 0.8]
+        found = line_dedup.linked(lines, 0.8)
+        assert dict(found) == dict(forest(links)) and len(found) == len(dict(found))

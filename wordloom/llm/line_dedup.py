@@ -18,7 +18,7 @@ come first in the order of documents; other columns are carried along.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.components import components
-from wordloom.llm.expressions import SPACED_WORD, column, text_key, written
+from wordloom.llm.expressions import SPACED_WORD, column, text_key, unused, written
 
 SHINGLE = 5
 BANDS = 12
@@ -36,6 +36,8 @@ SKETCH_BITS = 64
 MAX_SKETCH_BITS = 17
 SIMILARITY = 0.8
 MAX_BUCKET = 1000
+#: Lines of a bucket that are compared one by one.
+ONE_BY_ONE = 6
 #: Characters that are hashed together, and lines whose hashes a task remembers to skip repeats.
 CHARACTERS = 1 << 18
 REMEMBERED = 1 << 20
@@ -280,24 +282,44 @@ def similar(own: np.ndarray, other: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (low + high - both)
 
 
+def _likes(sets: list[np.ndarray], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function of a line and others that tells which of the others are similar to it.
+
+    Few lines are compared one by one; with many, shingles are numbered once and one line meets all others in one go.
+    """
+    if len(sets) <= ONE_BY_ONE:
+        return lambda own, others: np.array([similar(sets[own], sets[other], similarity) for other in others.tolist()], bool)
+    sizes = np.array([len(own) for own in sets])
+    starts = np.cumsum(sizes) - sizes
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    held = np.zeros(numbers.max() + 1, np.int32)
+
+    def likes(own: int, others: np.ndarray) -> np.ndarray:
+        inside = numbers[starts[own] : starts[own] + sizes[own]]
+        held[inside] = 1
+        both = np.add.reduceat(held[numbers], starts)[others]
+        held[inside] = 0
+        low, high = np.minimum(sizes[own], sizes[others]), np.maximum(sizes[own], sizes[others])
+        return (low >= similarity * high) & (both >= similarity * (low + high - both))
+
+    return likes
+
+
 def linked(lines: dict[int, str], similarity: float) -> list[tuple[int, int]]:
     """(line, root) of each line of a bucket that is connected to a smaller one, by exact Jaccard similarity."""
     if len(lines) < 2:
         return []
-    rest, out = sorted(lines), []
-    sets = dict(zip(rest, shingle_values([lines[line_id] for line_id in rest])))
-    while rest:
-        root, front = rest[0], [rest[0]]
+    ids, out = sorted(lines), []
+    likes = _likes(shingle_values([lines[line_id] for line_id in ids]), similarity)
+    rest = np.arange(len(ids))
+    while len(rest) > 1:
+        root, front = int(rest[0]), [int(rest[0])]
         rest = rest[1:]
-        while front and rest:
-            own, kept = sets[front.pop()], []
-            for line_id in rest:
-                if similar(own, sets[line_id], similarity):
-                    out.append((line_id, root))
-                    front.append(line_id)
-                else:
-                    kept.append(line_id)
-            rest = kept
+        while front and len(rest):
+            met = likes(front.pop(), rest)
+            front += rest[met].tolist()
+            out += [(ids[i], ids[root]) for i in rest[met].tolist()]
+            rest = rest[~met]
     return out
 
 
@@ -322,7 +344,12 @@ def _verified(similarity: float):
 def line_links(
     lines: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, max_bucket: int = MAX_BUCKET
 ) -> DataFrame:
-    """(left, right): enough links between different lines to connect all that are similar."""
+    """(left, right): enough links between different lines to connect all that are similar.
+
+    Bands and sketches are made for a similarity of ``SIMILARITY`` or more; a lower one is refused.
+    """
+    if similarity < SIMILARITY:
+        raise ValueError(f"similarity must be at least {SIMILARITY}")
     signed = lines.select("line_id", "line").mapInArrow(_signatures(bands, rows), "line_id bigint, sketch bigint, keys array<bigint>")
     keyed = signed.select(F.explode("keys").alias("band_key"), "line_id", "sketch")
     members = bucket_members(keyed, max_bucket)
@@ -367,11 +394,12 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """The documents without repeated lines; a document that loses nothing keeps its text."""
     lost = repeated_lines(documents, doc_id, text, **options).where(F.size("removed") > 0)
     # A document given twice loses its lines once.
-    lost = lost.select(F.col("doc_id").alias("_lost_id"), F.col("key").alias("_lost_key"), F.col("removed").alias("_lost_lines"))
-    lost = lost.dropDuplicates(["_lost_id", "_lost_key"])
+    lost_id, lost_key, gone = (unused(documents, name) for name in ("_lost_id", "_lost_key", "_lost_lines"))
+    lost = lost.select(F.col("doc_id").alias(lost_id), F.col("key").alias(lost_key), F.col("removed").alias(gone))
+    lost = lost.dropDuplicates([lost_id, lost_key])
     own = column(text)
-    match = F.col(doc_id).eqNullSafe(F.col("_lost_id")) & (text_key(own) == F.col("_lost_key"))
-    kept = F.filter(F.split(own, "\n", -1), lambda line, i: ~F.array_contains(F.col("_lost_lines"), i))
-    clean = F.when(F.col("_lost_lines").isNull(), own).otherwise(F.array_join(kept, "\n"))
+    match = column(doc_id).eqNullSafe(F.col(lost_id)) & (text_key(own) == F.col(lost_key))
+    kept = F.filter(F.split(own, "\n", -1), lambda line, i: ~F.array_contains(F.col(gone), i))
+    clean = F.when(F.col(gone).isNull(), own).otherwise(F.array_join(kept, "\n"))
     joined = documents.join(lost, match, "left")
     return joined.select(*[clean.alias(c) if c == text else column(c) for c in documents.columns])
