@@ -282,3 +282,14 @@ def test_empty_library(spark, layout):
     for texts in (texts_of(spark, 0, 2), texts_of(spark, 0, 1).where("false"), texts_of(spark, 3, 4)):
         index_corpus(spark, layout, {"none": texts})
         check_equal(spark, layout, texts)
+
+
+def test_filters_reach_the_files_of_every_generation(spark, layout):
+    for i in range(2):
+        index_corpus(spark, layout, {str(i): texts_of(spark, 10 * i, 10 * i + 10)})
+    assert len(manifest.current(spark, layout).index) == 2
+    some = open_vocabulary(spark, layout).where("bin IN (2, 3) AND hash IN ('a', 'b')")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bin" in plan and "In(hash, [a,b])" in plan
+    few = open_index(spark, layout).where("bin = 2").select("hash")
+    assert "ReadSchema: struct<hash:string>" in few._jdf.queryExecution().executedPlan().toString()
