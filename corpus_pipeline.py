@@ -30,10 +30,10 @@ def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sharding_by_hash_tree(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their size, checksum, shard and slot."""
+    """Documents with their size, checksum, shard and slot; slots of a shard follow the training order."""
     results = ("size", "text_crc32", "shard", "slot", "grown_shard")
     kept = [F.col("row")[name].alias(name) for name in docs.columns if name.lower() not in results]
-    return sharding.shard(docs).select(*kept, *results)
+    return sharding.shard(docs, in_order=True).select(*kept, *results)
 
 
 STAGES = [
