@@ -22,6 +22,7 @@ columns are left out; names of the documents' columns may be any; an empty table
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -46,8 +47,8 @@ FILLING_STEPS = 300
 #: Rows of a file that are numbered together.
 BLOCK_ROWS = 1 << 16
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 500_000
-BATCH_BYTES = 1 << 23
+REMEMBERED = 1_000_000
+BATCH_BYTES = 1 << 22
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -62,6 +63,7 @@ class _Words:
     """A tokenizer and the ids of the words it has met, all in one array."""
 
     def __init__(self, model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor keep its cores busy
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
