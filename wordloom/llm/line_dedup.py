@@ -36,8 +36,8 @@ SKETCH_BITS = 64
 MAX_SKETCH_BITS = 17
 SIMILARITY = 0.8
 MAX_BUCKET = 1000
-#: Lines of a bucket that are compared one by one.
-ONE_BY_ONE = 6
+#: Comparisons for each line of a bucket that are made one by one.
+ONE_BY_ONE = 5
 #: Characters that are hashed together, and lines whose hashes a task remembers to skip repeats.
 CHARACTERS = 1 << 18
 REMEMBERED = 1 << 20
@@ -285,16 +285,22 @@ def similar(own: np.ndarray, other: np.ndarray, similarity: float) -> bool:
 def _likes(sets: list[np.ndarray], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
     """A function of a line and others that tells which of the others are similar to it.
 
-    Few lines are compared one by one; with many, shingles are numbered once and one line meets all others in one go.
+    Lines are compared one by one at first, which suits a bucket of lines that are all alike. Where comparisons go on,
+    shingles are numbered once and a line meets all others in one go.
     """
-    if len(sets) <= ONE_BY_ONE:
-        return lambda own, others: np.array([similar(sets[own], sets[other], similarity) for other in others.tolist()], bool)
     sizes = np.array([len(own) for own in sets])
     starts = np.cumsum(sizes) - sizes
-    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    held = np.zeros(numbers.max() + 1, np.int32)
+    numbers = held = None
+    compared = 0
 
     def likes(own: int, others: np.ndarray) -> np.ndarray:
+        nonlocal numbers, held, compared
+        compared += len(others)
+        if compared <= ONE_BY_ONE * len(sets):
+            return np.array([similar(sets[own], sets[other], similarity) for other in others.tolist()], bool)
+        if numbers is None:
+            numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            held = np.zeros(numbers.max() + 1, np.int32)
         inside = numbers[starts[own] : starts[own] + sizes[own]]
         held[inside] = 1
         both = np.add.reduceat(held[numbers], starts)[others]
