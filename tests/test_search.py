@@ -199,7 +199,7 @@ def stored_texts_of(spark, texts, buckets, path):
     return spark.read.schema("text_id long, title string, text string, text_bucket int").parquet(path)
 
 
-@pytest.mark.parametrize("stretch", [find.MAX_BROADCAST_RESULTS, 40, 1])
+@pytest.mark.parametrize("stretch", [40, 1])
 def test_many_results_are_ranked_once_and_texts_stay(spark, monkeypatch, tmp_path, stretch):
     texts, requests = random_corpus(11)
     _, index, asked = frames(spark, texts, requests)
