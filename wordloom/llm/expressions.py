@@ -70,8 +70,8 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
-def written(frame: DataFrame) -> DataFrame:
+def written(frame: DataFrame, **options: str) -> DataFrame:
     """The same rows read from a table in the shared folder, so that nothing before it runs twice."""
     path = shared_folder(frame.sparkSession)
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -38,6 +38,9 @@ SIMILARITY = 0.8
 MAX_BUCKET = 1000
 #: Comparisons for each line of a bucket that are made one by one.
 ONE_BY_ONE = 5
+#: Lines of a group up to which many groups are compared at a time (32 at most), and characters of these groups.
+TOGETHER = 3
+TOGETHER_CHARACTERS = 1 << 16
 #: Characters that are hashed together, and lines whose hashes a task remembers to skip repeats.
 CHARACTERS = 1 << 18
 REMEMBERED = 1 << 20
@@ -168,7 +171,7 @@ CROWDED = -1
 
 def _shared(max_bucket: int):
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(bucket, block, line_id) of sorted (band_key, line_id, sketch) rows; a group of a bucket is named by what it holds.
+        """(bucket, block, line_id) of (band_key, line_id, sketch) rows by band key; a group of a bucket is named by what it holds.
 
         Lines of a bucket above ``max_bucket`` come as ``CROWDED``; no more than such a bucket and a batch is held.
         """
@@ -177,6 +180,17 @@ def _shared(max_bucket: int):
             return pd.DataFrame({"bucket": keys, "block": np.full(len(ids), CROWDED), "line_id": ids})
 
         def of(keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> pd.DataFrame:
+            # Most rows are alone in their bucket; the others are sorted, and repeats of a line in a bucket go.
+            equal = keys[1:] == keys[:-1]
+            beside = np.zeros(len(keys), dtype=bool)
+            beside[1:] = equal
+            beside[:-1] |= equal
+            keys, ids, sketches = keys[beside], ids[beside], sketches[beside]
+            order = np.lexsort((ids, keys))
+            keys, ids, sketches = keys[order], ids[order], sketches[order]
+            fresh = np.ones(len(keys), dtype=bool)
+            fresh[1:] = (np.diff(keys) != 0) | (np.diff(ids) != 0)
+            keys, ids, sketches = keys[fresh], ids[fresh], sketches[fresh]
             sizes = _bounds(keys)[1]
             small = np.repeat(sizes, sizes) <= max_bucket
             crowded = passed(keys[~small], ids[~small])
@@ -202,11 +216,11 @@ def _shared(max_bucket: int):
                 new = [column[goes_on:] for column in new]
                 passing = passing if not len(new[0]) else None
             held = [np.concatenate(pair) for pair in zip(held, new)]
-            fresh = np.ones(len(held[0]), dtype=bool)
-            fresh[1:] = (np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)
-            held = [column[fresh] for column in held]
             if len(held[0]):  # the last bucket may go on in the next batch
                 last = np.searchsorted(held[0], held[0][-1])
+                if len(held[0]) - last > max_bucket:  # a line that many tasks have signed counts once
+                    once = last + np.unique(held[1][last:], return_index=True)[1]
+                    held = [np.append(column[:last], column[once]) for column in held]
                 if len(held[0]) - last > max_bucket:
                     passing, last = held[0][-1], len(held[0])
                 yield of(*(column[:last] for column in held))
@@ -218,7 +232,7 @@ def _shared(max_bucket: int):
 
 def bucket_members(keyed: DataFrame, max_bucket: int) -> DataFrame:
     """(bucket, block, line_id) of (band_key, line_id, sketch): small buckets by like sketches, larger ones in blocks."""
-    dealt = keyed.repartition("band_key").sortWithinPartitions("band_key", "line_id")
+    dealt = keyed.repartition("band_key").sortWithinPartitions("band_key")
     members = written(dealt.mapInPandas(_shared(max_bucket), "bucket bigint, block bigint, line_id bigint").distinct())
     crowded = members.where(F.col("block") == CROWDED)
     if not crowded.head(1):
@@ -240,19 +254,24 @@ def bucket_members(keyed: DataFrame, max_bucket: int) -> DataFrame:
     return members.where(F.col("block") != CROWDED).unionByName(cut)
 
 
-def shingle_values(lines: list[str]) -> list[np.ndarray]:
-    """The shingles of each line as sorted different numbers; equal shingles, and no others, have equal numbers.
-
-    Five characters below U+0FFF are one number of 60 bits. With others among the lines, stretches of three and of two
-    characters are numbered first and the two numbers are put together.
-    """
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each line, ``SHINGLE`` at least, and the characters of all lines as numbers; 0 stands for no character."""
     sizes = np.array([max(len(line), SHINGLE) for line in lines])
     joined = "".join(line if len(line) >= SHINGLE else line.ljust(SHINGLE, "\0") for line in lines)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-    ends = np.cumsum(sizes)
-    for line, end in zip(lines, ends.tolist()):
-        if len(line) < SHINGLE:
-            codes[end - SHINGLE + len(line) : end] = 0  # no character
+    if sizes.min() == SHINGLE:
+        for line, end in zip(lines, np.cumsum(sizes).tolist()):
+            if len(line) < SHINGLE:
+                codes[end - SHINGLE + len(line) : end] = 0
+    return sizes, codes
+
+
+def _values(codes: np.ndarray) -> np.ndarray:
+    """A number for each ``SHINGLE`` characters in a row; equal ones, and no others, have equal numbers.
+
+    Five characters are one number of 60 bits, those above U+0FFE numbered first. Where the different characters are too
+    many for that, stretches of three and of two characters are numbered and the two numbers are put together.
+    """
 
     def packed(first: int, last: int, bits: int) -> np.ndarray:
         value = codes[first : len(codes) - SHINGLE + 1 + first]
@@ -260,11 +279,20 @@ def shingle_values(lines: list[str]) -> list[np.ndarray]:
             value = (value << np.uint64(bits)) | codes[i : len(codes) - SHINGLE + 1 + i]
         return value
 
-    if codes.max() < 1 << 12:
-        values = packed(0, SHINGLE, 12)
-    else:
-        three = np.unique(packed(0, 3, 21), return_inverse=True)[1].astype(np.uint64)
-        values = (three << np.uint64(32)) | np.unique(packed(3, SHINGLE, 21), return_inverse=True)[1].astype(np.uint64)
+    if codes.max() >= 1 << 12:
+        used = np.zeros(int(codes.max()) + 1, dtype=bool)
+        used[codes] = True
+        if np.count_nonzero(used) > 1 << 12:
+            three = np.unique(packed(0, 3, 21), return_inverse=True)[1].astype(np.uint64)
+            return (three << np.uint64(32)) | np.unique(packed(3, SHINGLE, 21), return_inverse=True)[1].astype(np.uint64)
+        codes = (np.cumsum(used) - 1).astype(np.uint64)[codes]
+    return packed(0, SHINGLE, 12)
+
+
+def shingle_values(lines: list[str]) -> list[np.ndarray]:
+    """The shingles of each line as sorted different numbers; equal shingles, and no others, have equal numbers."""
+    sizes, codes = _codes(lines)
+    values, ends = _values(codes), np.cumsum(sizes)
     found = []
     for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
         own = np.sort(values[begin : end - SHINGLE + 1])
@@ -329,20 +357,102 @@ def linked(lines: dict[int, str], similarity: float) -> list[tuple[int, int]]:
     return out
 
 
+def linked_groups(group: np.ndarray, ids: np.ndarray, lines: list[str], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """``linked`` for many groups of two to ``TOGETHER`` lines at a time, sorted by group number and line.
+
+    The shingles of all groups are sorted in one go. Each different shingle of a group is then one number whose bits tell
+    the lines that have it, so lines and pairs are counted exactly.
+    """
+    starts, sizes = _bounds(group)
+    place = np.arange(len(ids)) - np.repeat(starts, sizes)
+    lengths, codes = _codes(lines)
+    at = np.repeat(np.arange(len(ids)), lengths)
+    inside = np.ones(len(codes), dtype=bool)  # no shingle crosses the end of a line
+    ends = np.cumsum(lengths)
+    for i in range(1, SHINGLE):
+        inside[ends - i] = False
+    inside = inside[: len(codes) - SHINGLE + 1]
+    values, at = _values(codes)[inside], at[: len(inside)][inside]
+    of_group = np.repeat(np.arange(len(starts)), sizes)[at]
+    # Within a group different shingles stay different; groups that meet in the order are told apart by their number.
+    order = np.argsort(values * np.uint64(0x9E3779B97F4A7C15) + of_group.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    values, of_group = values[order], of_group[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (of_group[1:] != of_group[:-1])
+    firsts = np.flatnonzero(new)
+    holders = np.bitwise_or.reduceat(np.left_shift(np.uint32(1), place[at[order]].astype(np.uint32)), firsts)
+    of_group = of_group[firsts]
+
+    def held(some: np.ndarray, lines: int) -> np.ndarray:
+        return np.bincount(some[0][(some[1] & np.uint32(lines)) == lines], minlength=len(starts))
+
+    reached = np.left_shift(np.uint32(1), place.astype(np.uint32))
+    counts = {}
+    for other in range(sizes.max()):
+        large = sizes[of_group] > other
+        some = (of_group[large], holders[large])
+        counts[other] = held(some, 1 << other)
+        with_other = sizes > other
+        for own in range(other):
+            both = held(some, 1 << own | 1 << other)
+            low, high = np.minimum(counts[own], counts[other]), np.maximum(counts[own], counts[other])
+            alike = np.flatnonzero(with_other & (low >= similarity * high) & (both >= similarity * (low + high - both)))
+            reached[starts[alike] + own] |= np.uint32(1 << other)
+            reached[starts[alike] + other] |= np.uint32(1 << own)
+    while True:
+        further = reached.copy()
+        for line in range(sizes.max()):
+            has = np.flatnonzero((reached >> np.uint32(line)) & np.uint32(1))
+            further[has] |= reached[np.repeat(starts, sizes)[has] + line]
+        if np.array_equal(further, reached):
+            break
+        reached = further
+    root = np.bitwise_count((reached & -reached) - np.uint32(1)).astype(np.int64)
+    found = root < place
+    return ids[found], ids[(np.repeat(starts, sizes) + root)[found]]
+
+
 def _verified(similarity: float):
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple | None = None
-        lines: dict[int, str] = {}
+    def links(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        """The links of whole groups, which begin at the given rows."""
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+        ids, lines = rows["line_id"].to_numpy(), rows["line"].to_numpy()
+        order = np.lexsort((ids, group))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(group[order]) != 0) | (np.diff(ids[order]) != 0)
+        order = order[new]
+        sizes = np.bincount(group[order], minlength=len(starts))
         found: list[tuple[int, int]] = []
+        for some in np.split(order, np.cumsum(sizes)[:-1][(sizes[:-1] > TOGETHER) | (sizes[1:] > TOGETHER)]):
+            if len(some) and sizes[group[some[0]]] > TOGETHER:
+                found += linked(dict(zip(ids[some].tolist(), lines[some].tolist())), similarity)
+        left, right = (np.array(side, np.int64) for side in (zip(*found) if found else ([], [])))
+        order = order[(sizes[group[order]] > 1) & (sizes[group[order]] <= TOGETHER)]
+        if not len(order):
+            return pd.DataFrame({"left": left, "right": right})
+        sides = [(left, right)]
+        long = np.cumsum([len(line) for line in lines[order]])
+        # Some groups at a time, cut at the begin of a group.
+        firsts = _bounds(group[order])[0]
+        cuts = firsts[np.flatnonzero(np.diff((long[firsts] - 1) // TOGETHER_CHARACTERS)) + 1]
+        for some in np.split(order, cuts):
+            sides.append(linked_groups(group[some], ids[some], lines[some].tolist(), similarity))
+        return pd.DataFrame({name: np.concatenate(side) for name, side in zip(("left", "right"), zip(*sides))})
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
-            for bucket, block, line_id, line in zip(batch["bucket"], batch["block"], batch["line_id"], batch["line"]):
-                if (bucket, block) != held:
-                    found += linked(lines, similarity)
-                    held, lines = (bucket, block), {}
-                lines[line_id] = line
-            yield pd.DataFrame(found, columns=["left", "right"], dtype="int64")
-            found = []
-        yield pd.DataFrame(found + linked(lines, similarity), columns=["left", "right"], dtype="int64")
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            new = np.ones(len(rows), dtype=bool)
+            new[1:] = (np.diff(rows["bucket"]) != 0) | (np.diff(rows["block"]) != 0)
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:  # the last group may go on in the next batch
+                yield links(rows[: starts[-1]], starts[:-1])
+            held = rows[starts[-1] :]
+        if held is not None:
+            yield links(held, np.zeros(1, dtype=np.int64))
 
     return verified
 
@@ -359,8 +469,8 @@ def line_links(
     signed = lines.select("line_id", "line").mapInArrow(_signatures(bands, rows), "line_id bigint, sketch bigint, keys array<bigint>")
     keyed = signed.select(F.explode("keys").alias("band_key"), "line_id", "sketch")
     members = bucket_members(keyed, max_bucket)
-    wanted = members.select(F.col("line_id").alias("wanted")).distinct()
-    # One text per line: repeats of a line go before they are moved.
+    wanted = members.select(F.col("line_id").alias("wanted")).distinct().hint("shuffle_hash")
+    # Only ids are held, so texts are not sorted for it. One text per line: repeats of a line go before they are moved.
     texts = lines.select("line_id", "line").join(wanted, F.col("line_id") == F.col("wanted"), "left_semi")
     texts = texts.dropDuplicates(["line_id"])
     by = ["bucket", "block"]
@@ -373,8 +483,9 @@ def repeated_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     Line numbers count from 0. ``key`` tells texts of one id apart. Options are those of ``line_links``.
     """
-    lines = lines_of(documents, doc_id, text)
-    places = written(lines.select("id", "key", "line_no", "line_id"))
+    # Texts are split once; lines are read three times.
+    lines = written(lines_of(documents, doc_id, text), compression="zstd")
+    places = lines.select("id", "key", "line_no", "line_id")
     roots = components(line_links(lines, **options)).withColumnRenamed("node", "line_id")
     grouped = places.join(roots, "line_id", "left").select(
         "id", "key", "line_no", F.coalesce("root", "line_id").alias("component")
