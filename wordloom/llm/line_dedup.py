@@ -4,7 +4,7 @@ Equal lines meet once, as one hashed line. Each line's character shingles give `
 minima in one of ``BANDS`` bands of ``ROWS`` share a bucket. The lowest bits of all minima are a sketch that travels
 along: a bucket falls into groups that are connected by sketches at most ``MAX_SKETCH_BITS`` bits apart, and lines alone
 go no further. Equal groups of several bands are one. Only lines that went on fetch their text; inside a bucket a line is compared until it is linked, and pairs that are linked already are not compared
-again, so a bucket sends at most one link per line. The rows of a bucket above ``MAX_BUCKET`` pass through its task
+again, so a bucket sends at most one link per line; of groups of up to ``TOGETHER`` lines many are compared at a time. The rows of a bucket above ``MAX_BUCKET`` pass through its task
 without being held; they are counted, cut into blocks by a join, and every two blocks meet in a group of their own. Components come from ``components``, and of each the first line stays, by document
 id, text and line number.
 
