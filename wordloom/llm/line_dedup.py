@@ -3,8 +3,10 @@
 Equal lines meet once, as one hashed line. Each line's character shingles give ``SKETCH_BITS`` minima; lines with equal
 minima in one of ``BANDS`` bands of ``ROWS`` share a bucket. The lowest bits of all minima are a sketch that travels
 along: a bucket falls into groups that are connected by sketches at most ``MAX_SKETCH_BITS`` bits apart, and lines alone
-go no further. Equal groups of several bands are one. Only lines that went on fetch their text; inside a bucket a line is compared until it is linked, and pairs that are linked already are not compared
-again, so a bucket sends at most one link per line; of groups of up to ``TOGETHER`` lines many are compared at a time. The rows of a bucket above ``MAX_BUCKET`` pass through its task
+go no further. Equal groups of several bands are one. Only lines that went on fetch their text, once for the small
+groups that share their smallest line: these meet in one task. Many groups are compared at a time: the lines of a group
+until they are connected, maps of shingles first, which rule out most pairs, then the shingles of the others, so a
+group sends at most one link per line. The rows of a bucket above ``MAX_BUCKET`` pass through its task
 without being held; they are counted, cut into blocks by a join, and every two blocks meet in a group of their own. Components come from ``components``, and of each the first line stays, by document
 id, text and line number.
 
@@ -18,7 +20,7 @@ come first in the order of documents; other columns are carried along.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,11 +38,13 @@ SKETCH_BITS = 64
 MAX_SKETCH_BITS = 17
 SIMILARITY = 0.8
 MAX_BUCKET = 1000
-#: Comparisons for each line of a bucket that are made one by one.
+#: Exact comparisons for each line that are made one by one.
 ONE_BY_ONE = 5
-#: Lines of a group up to which many groups are compared at a time (32 at most), and characters of these groups.
-TOGETHER = 3
-TOGETHER_CHARACTERS = 1 << 16
+#: Bits of a line's map of shingles.
+MAP_BITS = 1 << 12
+#: Characters of the lines that are compared at a time, and those that a short line counts as, for its map.
+TOGETHER_CHARACTERS = 1 << 17
+LEAST_CHARACTERS = 64
 #: Characters that are hashed together, and lines whose hashes a task remembers to skip repeats.
 CHARACTERS = 1 << 18
 REMEMBERED = 1 << 20
@@ -169,15 +173,16 @@ def _bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 CROWDED = -1
 
 
-def _shared(max_bucket: int):
+def _shared(max_bucket: int, bands: int = BANDS):
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(bucket, block, line_id) of (band_key, line_id, sketch) rows by band key; a group of a bucket is named by what it holds.
+        """(bucket, block, line_id, home) of (band_key, line_id, sketch) rows by band key; a group of a bucket is named by what it holds.
 
-        Lines of a bucket above ``max_bucket`` come as ``CROWDED``; no more than such a bucket and a batch is held.
+        ``home`` is the smallest line of a small group, so that a home has no more lines than a bucket, and the name of
+        a larger one. Lines of a bucket above ``max_bucket`` come as ``CROWDED``; no more than such a bucket and a batch is held.
         """
 
         def passed(keys: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"bucket": keys, "block": np.full(len(ids), CROWDED), "line_id": ids})
+            return pd.DataFrame({"bucket": keys, "block": np.full(len(ids), CROWDED), "line_id": ids, "home": ids})
 
         def of(keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> pd.DataFrame:
             # Most rows are alone in their bucket; the others are sorted, and repeats of a line in a bucket go.
@@ -204,7 +209,9 @@ def _shared(max_bucket: int):
             starts, sizes = _bounds(np.cumsum(new))
             mixed = _mixed(ids)
             names = np.repeat(np.add.reduceat(mixed, starts) if len(starts) else mixed, sizes).view(np.int64)
-            return pd.concat([crowded, pd.DataFrame({"bucket": names, "block": np.zeros(len(ids), dtype=np.int64), "line_id": ids})])
+            home = np.where(np.repeat(sizes, sizes) <= max_bucket // bands, np.repeat(ids[starts], sizes), names)
+            found = {"bucket": names, "block": np.zeros(len(ids), dtype=np.int64), "line_id": ids, "home": home}
+            return pd.concat([crowded, pd.DataFrame(found)])
 
         held = [np.zeros(0, dtype=np.int64)] * 3
         passing = None
@@ -230,10 +237,13 @@ def _shared(max_bucket: int):
     return shared
 
 
-def bucket_members(keyed: DataFrame, max_bucket: int) -> DataFrame:
-    """(bucket, block, line_id) of (band_key, line_id, sketch): small buckets by like sketches, larger ones in blocks."""
+def bucket_members(keyed: DataFrame, max_bucket: int, bands: int = BANDS) -> DataFrame:
+    """(bucket, block, line_id, home) of (band_key, line_id, sketch): small buckets by like sketches, larger ones in blocks.
+
+    Small groups have their smallest line as home; larger ones, and every two blocks, have one of their own.
+    """
     dealt = keyed.repartition("band_key").sortWithinPartitions("band_key")
-    members = written(dealt.mapInPandas(_shared(max_bucket), "bucket bigint, block bigint, line_id bigint").distinct())
+    members = written(dealt.mapInPandas(_shared(max_bucket, bands), "bucket bigint, block bigint, line_id bigint, home bigint").distinct())
     crowded = members.where(F.col("block") == CROWDED)
     if not crowded.head(1):
         return members
@@ -250,6 +260,7 @@ def bucket_members(keyed: DataFrame, max_bucket: int) -> DataFrame:
         inside.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         .select(F.col("name").alias("bucket"), (low * F.col("blocks") + high).alias("block"), "line_id")
+        .withColumn("home", F.xxhash64("bucket", "block"))
     )
     return members.where(F.col("block") != CROWDED).unionByName(cut)
 
@@ -289,15 +300,18 @@ def _values(codes: np.ndarray) -> np.ndarray:
     return packed(0, SHINGLE, 12)
 
 
+def _different(values: np.ndarray) -> np.ndarray:
+    found = np.sort(values)
+    new = np.ones(len(found), dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found[new]
+
+
 def shingle_values(lines: list[str]) -> list[np.ndarray]:
     """The shingles of each line as sorted different numbers; equal shingles, and no others, have equal numbers."""
     sizes, codes = _codes(lines)
     values, ends = _values(codes), np.cumsum(sizes)
-    found = []
-    for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
-        own = np.sort(values[begin : end - SHINGLE + 1])
-        found.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
-    return found
+    return [_different(values[begin : end - SHINGLE + 1]) for begin, end in zip((ends - sizes).tolist(), ends.tolist())]
 
 
 def similar(own: np.ndarray, other: np.ndarray, similarity: float) -> bool:
@@ -305,33 +319,48 @@ def similar(own: np.ndarray, other: np.ndarray, similarity: float) -> bool:
     low, high = sorted((len(own), len(other)))
     if low < similarity * high:
         return False
-    together = np.sort(np.concatenate([own, other]))
+    together = np.sort(np.concatenate([own, other]), kind="stable")  # two sorted runs are merged
     both = int(np.count_nonzero(together[1:] == together[:-1]))
     return both >= similarity * (low + high - both)
 
 
-def _likes(sets: list[np.ndarray], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
-    """A function of a line and others that tells which of the others are similar to it.
+def _likes(values: np.ndarray, counts: np.ndarray, similarity: float) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
+    """A function of a line and others that tells which of the others are similar to it, by exact Jaccard similarity.
 
-    Lines are compared one by one at first, which suits a bucket of lines that are all alike. Where comparisons go on,
-    shingles are numbered once and a line meets all others in one go.
+    ``values`` are the numbers of the shingles of all lines, repeats included, ``counts`` how many each line has; the function
+    also gets how many different shingles at least are in only one line of each pair. Lines are compared one by one at
+    first. Where comparisons go on, shingles are numbered once and a line meets others in one go.
     """
-    sizes = np.array([len(own) for own in sets])
-    starts = np.cumsum(sizes) - sizes
-    numbers = held = None
+    begins = np.cumsum(counts) - counts
+    sets: list[np.ndarray | None] = [None] * len(counts)
+    numbers = held = starts = sizes = None
     compared = 0
 
-    def likes(own: int, others: np.ndarray) -> np.ndarray:
-        nonlocal numbers, held, compared
+    def different(line: int) -> np.ndarray:
+        if sets[line] is None:
+            sets[line] = _different(values[begins[line] : begins[line] + counts[line]])
+        return sets[line]
+
+    def one(own: int, other: int, unlike: int) -> bool:
+        both = len(different(own)) + len(different(other))
+        return both - unlike >= similarity * (both + unlike) and similar(sets[own], sets[other], similarity)
+
+    def likes(own: int, others: np.ndarray, unlike: np.ndarray) -> np.ndarray:
+        nonlocal numbers, held, starts, sizes, compared
         compared += len(others)
         if compared <= ONE_BY_ONE * len(sets):
-            return np.array([similar(sets[own], sets[other], similarity) for other in others.tolist()], bool)
+            return np.array([one(own, *pair) for pair in zip(others.tolist(), unlike.tolist())], bool)
         if numbers is None:
-            numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            found = [different(line) for line in range(len(sets))]
+            sizes = np.array([len(some) for some in found])
+            starts = np.cumsum(sizes) - sizes
+            numbers = np.unique(np.concatenate(found), return_inverse=True)[1]
             held = np.zeros(numbers.max() + 1, np.int32)
         inside = numbers[starts[own] : starts[own] + sizes[own]]
         held[inside] = 1
-        both = np.add.reduceat(held[numbers], starts)[others]
+        firsts = np.cumsum(sizes[others]) - sizes[others]
+        places = np.repeat(starts[others] - firsts, sizes[others]) + np.arange(sizes[others].sum())
+        both = np.add.reduceat(held[numbers[places]], firsts)
         held[inside] = 0
         low, high = np.minimum(sizes[own], sizes[others]), np.maximum(sizes[own], sizes[others])
         return (low >= similarity * high) & (both >= similarity * (low + high - both))
@@ -343,100 +372,105 @@ def linked(lines: dict[int, str], similarity: float) -> list[tuple[int, int]]:
     """(line, root) of each line of a bucket that is connected to a smaller one, by exact Jaccard similarity."""
     if len(lines) < 2:
         return []
-    ids, out = sorted(lines), []
-    likes = _likes(shingle_values([lines[line_id] for line_id in ids]), similarity)
-    rest = np.arange(len(ids))
-    while len(rest) > 1:
-        root, front = int(rest[0]), [int(rest[0])]
-        rest = rest[1:]
-        while front and len(rest):
-            met = likes(front.pop(), rest)
-            front += rest[met].tolist()
-            out += [(ids[i], ids[root]) for i in rest[met].tolist()]
-            rest = rest[~met]
-    return out
-
-
-def linked_groups(group: np.ndarray, ids: np.ndarray, lines: list[str], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """``linked`` for many groups of two to ``TOGETHER`` lines at a time, sorted by group number and line.
-
-    The shingles of all groups are sorted in one go. Each different shingle of a group is then one number whose bits tell
-    the lines that have it, so lines and pairs are counted exactly.
+    ids = sorted(lines)
+    found = linked_groups(np.zeros(len(ids), np.int64), np.array(ids), [lines[line_id] for line_id in ids], similarity)
+    return list(zip(*(side.tolist() for side in found)))
+
+
+def linked_groups(
+    group: np.ndarray, ids: np.ndarray, lines: list[str], similarity: float, at: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(line, root) of each line that is connected to one before it; lines that share a group are compared until they are.
+
+    ``group`` holds group numbers in order and ``at`` the places of their lines, in order in each group; without ``at`` each
+    line is in one group. Shingles of a line set bits of its map. Each bit that two maps differ in is a shingle that one line
+    has and the other has not, so pairs with too many of them are not similar; only the others are compared exactly.
     """
-    starts, sizes = _bounds(group)
-    place = np.arange(len(ids)) - np.repeat(starts, sizes)
+    at = np.arange(len(ids)) if at is None else at
     lengths, codes = _codes(lines)
-    at = np.repeat(np.arange(len(ids)), lengths)
     inside = np.ones(len(codes), dtype=bool)  # no shingle crosses the end of a line
     ends = np.cumsum(lengths)
     for i in range(1, SHINGLE):
         inside[ends - i] = False
-    inside = inside[: len(codes) - SHINGLE + 1]
-    values, at = _values(codes)[inside], at[: len(inside)][inside]
-    of_group = np.repeat(np.arange(len(starts)), sizes)[at]
-    # Within a group different shingles stay different; groups that meet in the order are told apart by their number.
-    order = np.argsort(values * np.uint64(0x9E3779B97F4A7C15) + of_group.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    values, of_group = values[order], of_group[order]
-    new = np.ones(len(values), dtype=bool)
-    new[1:] = (values[1:] != values[:-1]) | (of_group[1:] != of_group[:-1])
-    firsts = np.flatnonzero(new)
-    holders = np.bitwise_or.reduceat(np.left_shift(np.uint32(1), place[at[order]].astype(np.uint32)), firsts)
-    of_group = of_group[firsts]
-
-    def held(some: np.ndarray, lines: int) -> np.ndarray:
-        return np.bincount(some[0][(some[1] & np.uint32(lines)) == lines], minlength=len(starts))
-
-    reached = np.left_shift(np.uint32(1), place.astype(np.uint32))
-    counts = {}
-    for other in range(sizes.max()):
-        large = sizes[of_group] > other
-        some = (of_group[large], holders[large])
-        counts[other] = held(some, 1 << other)
-        with_other = sizes > other
-        for own in range(other):
-            both = held(some, 1 << own | 1 << other)
-            low, high = np.minimum(counts[own], counts[other]), np.maximum(counts[own], counts[other])
-            alike = np.flatnonzero(with_other & (low >= similarity * high) & (both >= similarity * (low + high - both)))
-            reached[starts[alike] + own] |= np.uint32(1 << other)
-            reached[starts[alike] + other] |= np.uint32(1 << own)
+    values, counts = _values(codes)[inside[: len(codes) - SHINGLE + 1]], lengths - (SHINGLE - 1)
+    maps = np.zeros(len(lines) * MAP_BITS, dtype=bool)
+    bit = (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    maps[np.repeat(np.arange(len(lines)) * MAP_BITS, counts) + (bit % np.uint64(MAP_BITS)).astype(np.int64)] = True
+    maps = np.packbits(maps.reshape(-1, MAP_BITS), axis=1).view(np.uint64)
+    likes = _likes(values, counts, similarity)
+    root = np.arange(len(lines))
+    firsts, sizes = _bounds(group)
+    place = 0
     while True:
-        further = reached.copy()
-        for line in range(sizes.max()):
-            has = np.flatnonzero((reached >> np.uint32(line)) & np.uint32(1))
-            further[has] |= reached[np.repeat(starts, sizes)[has] + line]
-        if np.array_equal(further, reached):
+        # In each group the line at this place meets those after it that are not connected with it.
+        left = sizes > place + 1
+        firsts, sizes = firsts[left], sizes[left]
+        if not len(firsts):
             break
-        reached = further
-    root = np.bitwise_count((reached & -reached) - np.uint32(1)).astype(np.int64)
-    found = root < place
-    return ids[found], ids[(np.repeat(starts, sizes) + root)[found]]
-
+        many = sizes - place - 1
+        begins = np.cumsum(many) - many
+        own = np.repeat(at[firsts + place], many)
+        others = at[np.repeat(firsts + place + 1 - begins, many) + np.arange(len(own))]
+        apart = root[own] != root[others]
+        left = np.logical_or.reduceat(apart, begins)  # else all lines of the group are connected
+        firsts, sizes = firsts[left], sizes[left]
+        own, others = own[apart], others[apart]
+        both = counts[own] + counts[others]
+        unlike = np.bitwise_count(maps[own] ^ maps[others]).sum(axis=1, dtype=np.int64)
+        # Jaccard similarity is (sum - difference) / (sum + difference) of the sizes of two sets; a larger sum raises it.
+        close = both - unlike >= similarity * (both + unlike)
+        pairs, some = np.unique(own[close] * len(lines) + others[close], return_index=True)
+        own, others = np.divmod(pairs, len(lines))
+        unlike = unlike[close][some]
+        for start, size in zip(*(bounds.tolist() for bounds in _bounds(own))):
+            with_own = others[start : start + size]
+            for other in with_own[likes(int(own[start]), with_own, unlike[start : start + size])].tolist():
+                low, high = int(own[start]), other
+                while root[low] != low:
+                    low = int(root[low])
+                while root[high] != high:
+                    high = int(root[high])
+                root[max(low, high)] = min(low, high)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        place += 1
+    found = np.flatnonzero(root != np.arange(len(root)))
+    return ids[found], ids[root[found]]
+
+
+def _verified(similarity: float, by: Sequence[str] = ("bucket", "block")):
+    """Links of the lines of each run of rows that are equal in ``by``.
+
+    A column ``groups`` names the groups of each line; lines of a run that share one are compared. Without it a run is a group.
+    """
 
-def _verified(similarity: float):
     def links(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        """The links of whole groups, which begin at the given rows."""
-        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+        """The links of whole runs, which begin at the given rows."""
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
         ids, lines = rows["line_id"].to_numpy(), rows["line"].to_numpy()
-        order = np.lexsort((ids, group))
+        order = np.lexsort((ids, run))
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (np.diff(group[order]) != 0) | (np.diff(ids[order]) != 0)
+        new[1:] = (np.diff(run[order]) != 0) | (np.diff(ids[order]) != 0)
         order = order[new]
-        sizes = np.bincount(group[order], minlength=len(starts))
-        found: list[tuple[int, int]] = []
-        for some in np.split(order, np.cumsum(sizes)[:-1][(sizes[:-1] > TOGETHER) | (sizes[1:] > TOGETHER)]):
-            if len(some) and sizes[group[some[0]]] > TOGETHER:
-                found += linked(dict(zip(ids[some].tolist(), lines[some].tolist())), similarity)
-        left, right = (np.array(side, np.int64) for side in (zip(*found) if found else ([], [])))
-        order = order[(sizes[group[order]] > 1) & (sizes[group[order]] <= TOGETHER)]
-        if not len(order):
-            return pd.DataFrame({"left": left, "right": right})
-        sides = [(left, right)]
-        long = np.cumsum([len(line) for line in lines[order]])
-        # Some groups at a time, cut at the begin of a group.
-        firsts = _bounds(group[order])[0]
-        cuts = firsts[np.flatnonzero(np.diff((long[firsts] - 1) // TOGETHER_CHARACTERS)) + 1]
-        for some in np.split(order, cuts):
-            sides.append(linked_groups(group[some], ids[some], lines[some].tolist(), similarity))
+        run, ids, lines = run[order], ids[order], lines[order]
+        at, group = np.arange(len(ids)), run
+        if "groups" in rows:
+            names = rows["groups"].to_numpy()[order]
+            at, names = np.repeat(at, [len(some) for some in names]), np.concatenate(names)
+            sort = np.lexsort((at, names, run[at]))
+            at, names = at[sort], names[sort]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (np.diff(run[at]) != 0) | (np.diff(names) != 0)
+            group = np.cumsum(new)
+        run_of = run[at]
+        # Some runs at a time, cut at the begin of a run.
+        long = np.cumsum([max(len(line), LEAST_CHARACTERS) for line in lines])
+        firsts = _bounds(run)[0]
+        cuts = [0, *firsts[np.flatnonzero(np.diff((long[firsts] - 1) // TOGETHER_CHARACTERS)) + 1].tolist(), len(ids)]
+        sides = []
+        for begin, end in zip(cuts, cuts[1:]):
+            some = slice(*np.searchsorted(run_of, [run[begin], run[end - 1] + 1]))
+            sides.append(linked_groups(group[some], ids[begin:end], lines[begin:end].tolist(), similarity, at[some] - begin))
         return pd.DataFrame({name: np.concatenate(side) for name, side in zip(("left", "right"), zip(*sides))})
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -446,9 +480,9 @@ def _verified(similarity: float):
             if not len(rows):
                 continue
             new = np.ones(len(rows), dtype=bool)
-            new[1:] = (np.diff(rows["bucket"]) != 0) | (np.diff(rows["block"]) != 0)
+            new[1:] = np.logical_or.reduce([np.diff(rows[name]) != 0 for name in by])
             starts = np.flatnonzero(new)
-            if len(starts) > 1:  # the last group may go on in the next batch
+            if len(starts) > 1:  # the last run may go on in the next batch
                 yield links(rows[: starts[-1]], starts[:-1])
             held = rows[starts[-1] :]
         if held is not None:
@@ -468,14 +502,16 @@ def line_links(
         raise ValueError(f"similarity must be at least {SIMILARITY}")
     signed = lines.select("line_id", "line").mapInArrow(_signatures(bands, rows), "line_id bigint, sketch bigint, keys array<bigint>")
     keyed = signed.select(F.explode("keys").alias("band_key"), "line_id", "sketch")
-    members = bucket_members(keyed, max_bucket)
+    members = bucket_members(keyed, max_bucket, bands)
     wanted = members.select(F.col("line_id").alias("wanted")).distinct().hint("shuffle_hash")
     # Only ids are held, so texts are not sorted for it. One text per line: repeats of a line go before they are moved.
     texts = lines.select("line_id", "line").join(wanted, F.col("line_id") == F.col("wanted"), "left_semi")
     texts = texts.dropDuplicates(["line_id"])
-    by = ["bucket", "block"]
-    told = members.join(texts, "line_id").select("bucket", "block", "line_id", "line")
-    return told.repartition(*by).sortWithinPartitions(*by).mapInPandas(_verified(similarity), "left bigint, right bigint")
+    # The groups of a home come together, so a text is moved and read once for them.
+    homes = members.groupBy("home", "line_id").agg(F.collect_set("bucket").alias("groups"))
+    told = homes.join(texts, "line_id").select("home", "line_id", "groups", "line")
+    told = told.repartition("home").sortWithinPartitions("home")
+    return told.mapInPandas(_verified(similarity, ["home"]), "left bigint, right bigint")
 
 
 def repeated_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
