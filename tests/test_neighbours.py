@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import answers
+from brute import answers, ranked
 from pyspark.sql import functions as F
 
 from wordloom.operators import marks, neighbours
@@ -64,12 +64,15 @@ def test_pairs_equal_brute_force_with_null_and_repeated_ids(spark):
     )
     names = spark.createDataFrame([(x,) for x in "abc"], "name string").select(find._word(F.sha2("name", 256)).alias("word"), "name")
     pairs = names.select("word").crossJoin(names.select(F.col("word").alias("next")))
-    found = neighbours.adjacent_words(words, 100, pairs, 9)
+    a, b = (find._word(F.sha2(F.lit(name), 256)) for name in "ab")
+    pairs = pairs.withColumn("n", F.when((F.col("word") == a) & (F.col("next") == b), 3).otherwise(2))
+    found = neighbours.adjacent_words(words, 100, pairs)
     named = found.join(names, "word").join(names.select(F.col("word").alias("next"), F.col("name").alias("behind")), "next").collect()
     assert sorted((str(row.text_id), row.name, row.behind, row.position) for row in named) == want
     counts = Counter((text_id, word, behind) for text_id, word, behind, _ in want)
     assert all(row.hits == counts[str(row.text_id), row.name, row.behind] for row in named)
     assert Counter((str(row.text_id), row.name, row.behind) for row in named if row.is_first) == Counter(set(counts))
+    assert all(row.is_longer == (row.name + row.behind == "ab") for row in named)
     assert {(row.text_id, row.total_words) for row in named} == {(1, 5), (2, 2), (None, 3), (-7, 3)}
 
 
@@ -108,6 +111,21 @@ def test_requests_beyond_every_bound_do_not_shuffle_the_index(spark, monkeypatch
         assert held.count() == index.join(chosen.wanted, "hash", "left_semi").count()
         starts = find._phrase_starts(index, chosen.part(False))._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in starts and "LeftSemi" not in starts
+        best = find._phrase_starts(index, chosen.part(False), 3)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("WindowGroupLimit") < plan.rindex("WindowGroupLimit")  # also before the shuffle
+        want = answers(texts, requests, "exact")
+        firsts = {words: query_id for query_id, words in sorted(requests.items(), reverse=True) if len(words.split()) == 2}
+        longer = {tuple(words.split()[:2]) for words in requests.values() if len(words.split()) > 2}
+        for words, query_id in firsts.items():
+            held = sorted(row.text_id for row in best.where(f"seq_id = {query_id}").collect()) if query_id < 30 else None
+            top = ranked(want, 10**6 if tuple(words.split()) in longer else 3).get(query_id, [])
+            assert held is None or held == sorted(top)
+        top = find.search_hits(index, sequences, BINS, 3, mode).orderBy("query_id", "rank").collect()
+        of_query = {}
+        for row in top:
+            of_query.setdefault(row.query_id, []).append(row.text_id)
+        assert of_query == ranked(answers(texts, requests, mode), 3)
         found = {}
         for row in find.search_hits(index, sequences, BINS, 10**6, mode).collect():
             found.setdefault(row.query_id, {})[row.text_id] = (row.hits, row.matching_words, row.total_words, row.matching_words_frequency)
