@@ -133,3 +133,12 @@ def test_requests_beyond_every_bound_do_not_shuffle_the_index(spark, monkeypatch
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         index.unpersist()
+
+
+def test_a_request_that_comes_twice_is_matched_once(spark, monkeypatch):
+    table = spark.createDataFrame([(1, "a b a b c"), (2, "a b")], "text_id long, text string")
+    asked = spark.createDataFrame([(1, "a b"), (2, "a b c"), (1, "a b"), (2, "a b c")], "query_id long, request string")
+    monkeypatch.setattr(find, "MAX_PINNED", 0)
+    chosen = find.RequestSet(request_sequences(asked), BINS)
+    hits = find._hits_of_many(postings(table, BINS), chosen, 10, "exact").collect()
+    assert sorted((row.seq_id, row.text_id, row.hits) for row in hits) == [(1, 1, 2), (1, 2, 1), (2, 1, 1)]
